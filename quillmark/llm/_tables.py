@@ -6,6 +6,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 UNSET_FOLDER = "/tmp/checkpoints"
 
@@ -38,3 +39,32 @@ def row_key(*columns: str):
     """Two hashes of the columns' values, nulls told apart: equal for equal rows only, but for chance."""
     parts = [x for c in columns for x in (F.col(c), F.col(c).isNull())]
     return F.xxhash64(F.lit(17), *parts).alias("_k1"), F.xxhash64(F.lit(29), *reversed(parts)).alias("_k2")
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """The name, with underscores in front until no column has it in any case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
+def add_struct(df: DataFrame, keep: list[str], name: str, kind: str, make, text: str = "text", limit: int | None = None) -> DataFrame:
+    """Columns `keep` and a struct column `name` of type `kind`, which `make(rows, buf, offs)` fills block by block.
+
+    make returns the struct's arrays in order. Only `keep` and the text leave the JVM, in one Arrow pass without a shuffle.
+    """
+    import pyarrow as pa
+
+    from quillmark.llm import _blocks
+
+    inner = StructType.fromDDL(kind)
+    fields = [df.schema[c] for c in keep]
+    source, most = unused(df, "_text"), limit or _blocks.BLOCK_BYTES
+
+    def run(batches):
+        for rows, buf, offs in _blocks.blocks(batches, source, most):
+            made = pa.StructArray.from_arrays([x if isinstance(x, pa.Array) else pa.array(x) for x in make(rows, buf, offs)], inner.names)
+            yield pa.RecordBatch.from_arrays([*(rows.column(i) for i in range(len(keep))), made], [*keep, name])
+
+    return df.select(*(F.col(f"`{c}`") for c in keep), F.col(f"`{text}`").alias(source)).mapInArrow(run, StructType([*fields, StructField(name, inner)]))

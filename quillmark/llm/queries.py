@@ -1,10 +1,12 @@
 """The subpackage's registered queries and their DuckDB equivalents."""
 
-from quillmark.llm import quality
+from quillmark.llm import decontaminate, quality
 
 QUERIES = {
+    "op4_benchmark_decontamination": decontaminate.op4_benchmark_decontamination,
     "op7_quality_rules": quality.op7_quality_rules,
 }
 ORACLE = {
+    "op4_benchmark_decontamination": decontaminate.ORACLE,
     "op7_quality_rules": quality.ORACLE,
 }

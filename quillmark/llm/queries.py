@@ -1,8 +1,9 @@
 """The subpackage's registered queries and their DuckDB equivalents."""
 
-from quillmark.llm import decontaminate, quality, token_counts
+from quillmark.llm import decontaminate, mixing, quality, token_counts
 
 QUERIES = {
+    "op1_source_mixing": mixing.op1_source_mixing,
     "op4_benchmark_decontamination": decontaminate.op4_benchmark_decontamination,
     "op5_token_counts": token_counts.op5_token_counts,
     "op7_quality_rules": quality.op7_quality_rules,

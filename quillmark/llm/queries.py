@@ -1,14 +1,16 @@
 """The subpackage's registered queries and their DuckDB equivalents."""
 
-from quillmark.llm import decontaminate, mixing, quality, token_counts
+from quillmark.llm import decontaminate, mixing, quality, token_counts, warc
 
 QUERIES = {
     "op1_source_mixing": mixing.op1_source_mixing,
     "op4_benchmark_decontamination": decontaminate.op4_benchmark_decontamination,
     "op5_token_counts": token_counts.op5_token_counts,
+    "op6_warc_archives": warc.op6_warc_archives,
     "op7_quality_rules": quality.op7_quality_rules,
 }
 ORACLE = {
     "op4_benchmark_decontamination": decontaminate.ORACLE,
+    "op6_warc_archives": warc.ORACLE,
     "op7_quality_rules": quality.ORACLE,
 }

@@ -6,7 +6,7 @@ on that key; only distinct contents without one are encoded, and their counts ar
 Misses keep one row for each digest in each scan task before they are shuffled by digest, compressed, so a text that a third of all
 rows share crosses once from each task. The tokenizers library counts every text. Where the vocabulary file drops white space
 before it splits, a text is the sum of its space-separated pieces, and a worker remembers the counts of pieces it has met
-(up to PIECES of them, then starts anew); texts with special strings are encoded whole.
+(the last PIECES or more of them); texts with special strings are encoded whole.
 
 Normalised content: white-space runs as one space where the tokenizer does so itself, else the text as it is.
 
@@ -45,6 +45,7 @@ class Counter:
 
     def __init__(self, path: str):
         self.pieces: dict[str, int] = {}
+        self.older: dict[str, int] = {}
         self.by_piece = False
         if path.endswith(".json"):
             from tokenizers import Tokenizer
@@ -68,14 +69,18 @@ class Counter:
         if not self.by_piece:
             return self.whole(texts)
         if len(self.pieces) > PIECES:
-            self.pieces.clear()
-        known, parts = self.pieces, []
+            self.pieces, self.older = {}, self.pieces
+        known, older, parts = self.pieces, self.older, []
         for t in texts:
             parts.append([t] if any(s in t for s in self.special) else t.replace("\n", " ").split(" "))
-        new = list({p for ps in parts for p in ps if p not in known})
-        counted = dict(zip(new, self.whole(new), strict=True))
-        sums = [sum(counted[p] if p in counted else known[p] for p in ps) for ps in parts]
-        known.update((p, n) for p, n in counted.items() if len(p) < 64)
+        unmet = set().union(*parts).difference(known)
+        known.update((p, older[p]) for p in unmet if p in older)
+        new = list(unmet.difference(known))
+        known.update(zip(new, self.whole(new), strict=True))
+        sums = [sum(map(known.__getitem__, ps)) for ps in parts]
+        for p in new:
+            if len(p) > 64:
+                del known[p]
         return sums
 
 
@@ -87,7 +92,7 @@ def drops_space(path: str) -> bool:
     steps = lambda x, many: x.get(many, [x])
     one_space = any(s.get("type") == "Replace" and s.get("pattern") == {"Regex": "\\s+"} and s.get("content") == " " for s in steps(normal, "normalizers"))
     first = steps(split, "pretokenizers")[0]
-    apart = first.get("type") == "Split" and first.get("behavior") == "Removed" and first.get("invert") is True and "^\\s" in str(first.get("pattern"))
+    apart = first.get("type") == "Split" and first.get("behavior") == "Removed" and first.get("invert") is True and "[^\\s" in (first.get("pattern") or {}).get("Regex", "")
     return one_space and apart
 
 

@@ -1,8 +1,9 @@
 """The subpackage's registered queries and their DuckDB equivalents."""
 
-from quillmark.llm import decontaminate, language, mixing, quality, token_counts, warc
+from quillmark.llm import decontaminate, language, mixing, pii, quality, token_counts, warc
 
 QUERIES = {
+    "op9_personal_data": pii.op9_personal_data,
     "op8_language_id": language.op8_language_id,
     "op1_source_mixing": mixing.op1_source_mixing,
     "op4_benchmark_decontamination": decontaminate.op4_benchmark_decontamination,

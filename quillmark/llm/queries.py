@@ -1,8 +1,9 @@
 """The subpackage's registered queries and their DuckDB equivalents."""
 
-from quillmark.llm import decontaminate, language, mixing, pii, quality, token_counts, warc
+from quillmark.llm import decontaminate, language, line_dedup, mixing, pii, quality, token_counts, warc
 
 QUERIES = {
+    "op2_line_dedup": line_dedup.op2_line_dedup,
     "op9_personal_data": pii.op9_personal_data,
     "op8_language_id": language.op8_language_id,
     "op1_source_mixing": mixing.op1_source_mixing,
@@ -12,6 +13,7 @@ QUERIES = {
     "op7_quality_rules": quality.op7_quality_rules,
 }
 ORACLE = {
+    "op2_line_dedup": line_dedup.ORACLE,
     "op4_benchmark_decontamination": decontaminate.ORACLE,
     "op6_warc_archives": warc.ORACLE,
     "op7_quality_rules": quality.ORACLE,

@@ -1,8 +1,9 @@
 """The subpackage's registered queries and their DuckDB equivalents."""
 
-from quillmark.llm import decontaminate, language, line_dedup, mixing, near_dedup, pii, quality, token_counts, warc
+from quillmark.llm import decontaminate, language, line_dedup, mixing, near_dedup, pii, quality, suffix_dedup, token_counts, warc
 
 QUERIES = {
+    "op3_suffix_dedup": suffix_dedup.op3_suffix_dedup,
     "op10_near_duplicates": near_dedup.op10_near_duplicates,
     "op2_line_dedup": line_dedup.op2_line_dedup,
     "op9_personal_data": pii.op9_personal_data,

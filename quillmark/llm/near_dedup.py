@@ -26,7 +26,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillmark.llm import _blocks as B
@@ -277,11 +277,37 @@ def _verified(idf):
     return run
 
 
+def _packed(batches):
+    """(key, packed) of (key, text) rows, one for each key of a task."""
+    import zstandard
+
+    squeeze, seen = zstandard.ZstdCompressor(level=3).compress, set()
+    for batch in batches:
+        keys, texts = batch.column(0).to_pylist(), B.text_column(batch, "text").cast(pa.binary())
+        new = [i for i, k in enumerate(keys) if not (k in seen or seen.add(k))]
+        yield pa.RecordBatch.from_arrays([pa.array([keys[i] for i in new], pa.binary()), pa.array([squeeze(texts[i].as_buffer()) for i in new], pa.binary())], ["key", "packed"])
+
+
+def _unpacked(batches):
+    """(group, key, text), one for each key; equal keys come in a row."""
+    import zstandard
+
+    unpack, before = zstandard.ZstdDecompressor().decompress, None
+    for batch in batches:
+        keys = batch.column(1).to_pylist()
+        new = [i for i, k in enumerate(keys) if k != (keys[i - 1] if i else before)]
+        before = keys[-1] if keys else before
+        for at in range(0, len(new), 256):
+            part = batch.take(pa.array(new[at : at + 256], pa.int64()))
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([unpack(x).decode() for x in part.column(2).to_pylist()], pa.string())], ["group", "key", "text"])
+
+
 def _groups(texts: DataFrame, groups: DataFrame) -> DataFrame:
     """group, pair, side, key and text of every task's rows. A group of m blocks makes m (m + 1) / 2 pairs of blocks."""
     members = groups.select(F.col("node").alias("_key"), F.col("component").alias("group")).union(groups.select("component", "component").distinct())
-    joined = texts.join(members, F.col("key") == F.col("_key")).dropDuplicates(["key"]).select("group", "key", "text")
-    joined = written(joined, "near-groups")
+    # By merge at every size: whether the members would fit a broadcast depends on the data, and a plan that changes with them needs more beyond.
+    joined = texts.select("key", "text").mapInArrow(_packed, "key binary, packed binary").join(members.hint("merge"), F.col("key") == F.col("_key"))
+    joined = written(joined.select("group", "key", "packed").mapInArrow(_unpacked, "group binary, key binary, text string"), "near-groups")
     sizes = joined.groupBy(F.col("group").alias("_group")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("text")).alias("b"))
     blocks = F.greatest(F.ceil(F.col("n") / GROUP), F.ceil(F.col("b") / GROUP_BYTES), F.lit(1)).cast("int")
     dealt = joined.join(sizes.select("_group", blocks.alias("m")), F.col("group") == F.col("_group"))
@@ -298,11 +324,11 @@ def classes(texts: DataFrame) -> DataFrame:
     spark = texts.sparkSession
     idf = spark.sparkContext.broadcast(inverse_frequencies(document_frequencies(texts)))
     sketched = written(texts.select("key", "text").mapInArrow(_sketches(idf), "key binary, sketch binary, bands array<bigint>"), "near-sketches")
-    banded = sketched.select("key", F.explode("bands").alias("band")).distinct()
-    shared = banded.groupBy(F.col("band").alias("_band")).agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1")
-    buckets = banded.join(shared, F.col("band") == F.col("_band")).select("band", "key")
-    once = sketched.groupBy(F.col("key").alias("_key")).agg(F.first("sketch").alias("sketch"))
-    members = buckets.join(once, F.col("key") == F.col("_key")).select("band", "key", "sketch")
+    once = written(sketched.groupBy("key").agg(F.first("sketch").alias("sketch"), F.first("bands").alias("bands")), "near-texts")
+    banded = once.select("key", F.explode(F.array_distinct("bands")).alias("band"))
+    by_band = Window.partitionBy("band").orderBy("key")
+    shared = banded.select("band", "key", F.lag("key").over(by_band).alias("_a"), F.lead("key").over(by_band).alias("_b")).filter("_a IS NOT NULL OR _b IS NOT NULL")
+    members = shared.select("band", "key").join(once.select(F.col("key").alias("_key"), "sketch"), F.col("key") == F.col("_key")).select("band", "key", "sketch")
     stars = members.repartition("band").sortWithinPartitions("band").mapInArrow(_stars, "a binary, b binary")
     groups = components(stars, "near-stars")
     links = _groups(texts, groups).repartition("group", "pair").sortWithinPartitions("group", "pair").mapInArrow(_verified(idf), "a binary, b binary")

@@ -2,7 +2,7 @@
 
 Each source's words, document after document in a hashed order, are packed into blocks of `block` words. Output shards of
 `shard` slots draw how many slots each source gets: a multinomial draw over what the sources' targets still lack, so that
-the totals meet the targets. A source's j-th slot goes through a pseudorandom permutation of its block indexes (a Feistel
+the totals meet the targets within one and a half blocks. A source's j-th slot goes through a pseudorandom permutation of its block indexes (a Feistel
 network with cycle walking, another one for each pass over the source) and blocks join the slots by that index.
 
 Word offsets come from two levels of prefix sums: documents fall into hashed buckets of a source, sums run inside a bucket, and the
@@ -70,7 +70,7 @@ def draw_shards(slots: np.ndarray, mix: Mix) -> np.ndarray:
             drawn = np.minimum(rng.multinomial(want, left / left.sum()), left)
             got, left, want = got + drawn, left - drawn, want - int(drawn.sum())
         rows.append(got)
-    return np.array(rows).reshape(-1, len(slots))
+    return np.array(rows, np.int64).reshape(len(rows), len(slots))
 
 
 def _blocks(docs: DataFrame, mix: Mix) -> DataFrame:

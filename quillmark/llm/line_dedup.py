@@ -44,6 +44,7 @@ def repeats(docs: DataFrame, keep: list[str], key: str = "doc_id", text: str = "
     base = written(numbered, "lines-base")
     found = written(units(base, "_row", body, separator, least_words), "lines-units")
     first = found.groupBy("_digest").agg(F.count(F.lit(1)).alias("_n"), F.min(F.struct("_rank", "_row", "_at")).alias("_first")).filter("_n > 1")
+    first = written(first, "lines-first")  # a plain shuffle on both sides of the join, which adaptive execution can split
     late = found.join(first, "_digest").filter((F.col("_row") != F.col("_first._row")) | (F.col("_at") != F.col("_first._at")))
     lists = late.groupBy("_row").agg(F.sort_array(F.collect_list(F.struct(F.col("_at").alias("start"), F.col("_end").alias("end")))).alias("_removed"))
     none = F.array().cast("array<struct<start:int,end:int>>")

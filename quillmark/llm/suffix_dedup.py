@@ -301,6 +301,7 @@ def window_starts(texts: DataFrame) -> DataFrame:
     """key and sorted ranges of the starts of repeated windows, for texts that have any. texts: key, text; equal keys are equal texts."""
     found = written(texts.mapInArrow(_segments, ANCHORS), "suffix-anchors")
     twice = found.groupBy(F.col("v").alias("_v")).agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select("_v")
+    twice = written(twice, "suffix-twice")  # a plain shuffle on both sides of the join, which adaptive execution can split
     some = found.join(twice, F.col("v") == F.col("_v")).groupBy("v", "seg", "key", "lo", "len").agg(F.count(F.lit(1)).alias("n"))
     some = written(some, "suffix-repeated")
     each = some.groupBy("v", "seg").agg(F.sum("n").alias("n"), F.min(F.struct("key", "lo", "len")).alias("one"))

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmark.llm._tables import documents, new_path, unused
+from quillmark.llm._tables import documents, new_path, unused, written
 
 LIMIT = 2048
 PIECES = 200_000
@@ -159,6 +159,7 @@ def counted(docs: DataFrame, keep: list[str], path: str, cache: str, text: str =
     firsts.repartition("digest").mapInArrow(_encoder(path, version), CACHE).write.mode("append").parquet(cache)
     known = spark.read.schema(CACHE).parquet(cache).filter(F.col("version") == version)
     counts = known.groupBy(F.col("digest").alias(key)).agg(F.max("n_tokens").alias(into))
+    counts = written(counts, "token-counts")  # a plain shuffle on both sides of the join, which adaptive execution can split
     rows = docs.select(*(F.col(f"`{c}`") for c in keep if c != into), digest(F.col(f"`{text}`"), path).alias(key))
     return rows.join(counts, key, "left").drop(key)
 

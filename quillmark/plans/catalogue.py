@@ -1,14 +1,16 @@
-"""All registered queries over the core operators, and the same in DuckDB SQL."""
+"""All registered queries over the core operators, the same in DuckDB SQL, and the flagship."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE: dict[str, str] = {}
+from quillmark.operators import context
+from quillmark.plans import file_queries, search_queries  # noqa: F401  they register their queries
+from quillmark.plans.registered import ORACLE, QUERIES
+
+__all__ = ["ORACLE", "QUERIES", "flagship"]
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """Hybrid ranked search, its results within a token budget."""
+    return context.within_budget(search_queries.hybrid(spark, sf_dir))

@@ -346,6 +346,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     ids = docs.select(F.col(f"`{key}`").alias("_id"), _keyed(docs, text)[0])
     named = written(ids.join(found, F.col("key") == F.col("node"), "left").select("_id", F.coalesce("component", "key").alias("class")), "near-classes")
     sizes = named.groupBy(F.col("class").alias("_class")).agg(F.min("_id").alias("class_id"), F.count(F.lit(1)).alias("class_size"))
+    sizes = written(sizes, "near-sizes")  # a plain shuffle on both sides of the join, which adaptive execution can split
     return named.join(sizes, F.col("class") == F.col("_class")).select(F.col("_id").alias(key), "class_id", "class_size")
 
 

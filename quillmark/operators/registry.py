@@ -52,11 +52,11 @@ def newest(rows: DataFrame, by: str, keep: int, per: list[str] | None = None, ti
     return rows.withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= keep).drop("_n")
 
 
-def related(edges: DataFrame, workspaces: DataFrame, workspace_id: str) -> DataFrame:
-    """dst, its name and the types of its links from a workspace."""
+def related(edges: DataFrame, workspaces: DataFrame) -> DataFrame:
+    """src, dst, its name and the types of the links between them."""
     names = workspaces.select(F.col("id").alias("dst"), "name")
-    links = edges.filter(F.col("src") == workspace_id).groupBy("dst").agg(F.sort_array(F.collect_set("rel_type")).alias("types"))
-    return links.join(names, "dst", "left").select("dst", F.coalesce("name", F.lit("Unknown")).alias("name"), "types")
+    links = edges.groupBy("src", "dst").agg(F.sort_array(F.collect_set("rel_type")).alias("types"))
+    return links.join(names, "dst", "left").select("src", "dst", F.coalesce("name", F.lit("Unknown")).alias("name"), "types")
 
 
 def workspace_id_of(path: str, seconds: float) -> str:
@@ -167,7 +167,7 @@ class Registry:
 
     def related(self, workspace_id: str) -> DataFrame:
         self._known(workspace_id)
-        return related(self.edges(), self.workspaces(True), workspace_id)
+        return related(self.edges().filter(F.col("src") == workspace_id), self.workspaces(True)).drop("src")
 
     def clean_up(self, now: datetime | None = None) -> list[str]:
         """Removes stale workspaces; returns their ids."""

@@ -36,7 +36,7 @@ SPAN = LENGTH - K
 CHUNK = 4 << 20
 SPLIT = 4 << 20
 SUBRANGES = (1, 16, SPAN + 1)
-BATCH = 192 << 10
+BATCH = 64 << 10
 U64 = np.uint64
 PLACE = U64((1 << 24) - 1)
 ANCHORS = "key binary, v bigint, seg bigint, lo int, len int"

@@ -305,9 +305,10 @@ def window_starts(texts: DataFrame) -> DataFrame:
     some = found.join(twice, F.col("v") == F.col("_v")).groupBy("v", "seg", "key", "lo", "len").agg(F.count(F.lit(1)).alias("n"))
     some = written(some, "suffix-repeated")
     each = some.groupBy("v", "seg").agg(F.sum("n").alias("n"), F.min(F.struct("key", "lo", "len")).alias("one"))
-    sizes = some.groupBy(F.col("v").alias("_v")).agg(F.sum("len").alias("_bytes"))
-    parts = F.when(F.col("_bytes") <= SPLIT, SUBRANGES[0]).when(F.col("_bytes") <= SPLIT * SUBRANGES[1] * 4, SUBRANGES[1]).otherwise(SUBRANGES[2])
-    refs = each.join(sizes, F.col("v") == F.col("_v")).groupBy(F.col("one.key").alias("_key")).agg(F.collect_list(F.struct("v", "seg", "n", F.col("one.lo").alias("lo"), F.col("one.len").alias("len"), parts.alias("parts"))).alias("refs"))
+    # Only anchors to be dealt out; written, so that both sides of the join are plain shuffles, which adaptive execution can split.
+    sizes = written(each.groupBy(F.col("v").alias("_v")).agg(F.sum("one.len").alias("_bytes")).filter(F.col("_bytes") > SPLIT), "suffix-large")
+    parts = F.when(F.col("_bytes").isNull(), SUBRANGES[0]).when(F.col("_bytes") <= SPLIT * SUBRANGES[1] * 4, SUBRANGES[1]).otherwise(SUBRANGES[2])
+    refs = each.join(sizes, F.col("v") == F.col("_v"), "left").groupBy(F.col("one.key").alias("_key")).agg(F.collect_list(F.struct("v", "seg", "n", F.col("one.lo").alias("lo"), F.col("one.len").alias("len"), parts.alias("parts"))).alias("refs"))
     packed = texts.mapInArrow(_packed, "key binary, packed binary")
     bodies = packed.join(refs, F.col("key") == F.col("_key")).select("key", "packed", "refs").mapInArrow(_bodies, SEGMENT)
     judged = bodies.repartition("grp").sortWithinPartitions("grp").mapInArrow(_sorted_groups, "v bigint, seg bigint, ranges array<struct<s:int,e:int>>")

@@ -27,7 +27,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """The rows, written to the shared folder once and read again: cuts lineage and survives lost executors."""
     spark = df.sparkSession
     path = new_path(spark, name)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -1,55 +1,71 @@
-"""Substring dedup by hashed lines or paragraphs (operator 2).
+"""Substring dedup by hashed units of text (operator 2).
 
-Texts are split into units at newlines (or blank lines); a unit is normalised (lower case, white-space runs as one space, ends trimmed) and digested.
-Digests are grouped over all documents: the occurrence with the least rank (doc_id, nulls last, then text key, then place) stays, the others go,
-with their offsets in code points of the original text. Units of under `least_words` words are left alone: chance repeats of a word or two are not copies.
+Texts are split into units: lines, paragraphs, or (the default) lines cut at sentence ends. A unit is normalised (lower case, white-space runs as one space, ends
+trimmed) and digested. Digests are grouped over all documents: the occurrence with the least rank (doc_id, nulls last, then row, then place) stays, the
+others go, with their offsets in code points of the original text. Units of under `least_words` words are left alone: chance repeats of a few words are not copies.
 
-DataFrame operations only. Units carry digests, places and lengths, not text. Digests that occur once drop out before the join that marks removals; grouping
-combines map-side, so a line that a third of all rows share leaves one row in each task; the join back is by digest, which adaptive execution splits where skewed.
+Whole lines alone would miss a passage put into the middle of a line, which these data hold; its whole sentences are units here.
 
-Defined cases: null and empty texts have no units and are returned as they are; of repeated rows (equal id and text) one keeps its units and the other loses them,
-in no stated order; ties cannot remain otherwise; an empty table gives an empty result; further columns do not matter.
+Texts are split in one Arrow pass, which is written with row numbers; units carry digests and places, not text. Digests that occur once drop out before
+the join that marks removals; grouping combines map-side, so a line that a third of all rows share leaves one row in each task, and the join back is split where skewed.
+
+Defined cases: null and empty texts have no units and are returned as they are; of repeated rows (equal id and text) one keeps its units and the others lose them,
+in no stated order; an empty table gives an empty result; further columns do not matter.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import re
+from hashlib import blake2b
+
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmark.llm._tables import documents, unused, written
+from quillmark.llm._tables import add_struct, documents, unused, written
 
 LEAST_WORDS = 5
-#: A separator stays with the unit before it, so that places add up and cuts leave no blank line behind.
-LINE, PARAGRAPH = r"(?<=\n)", r"(?<=\n\n)(?!\n)"
+#: What ends a unit; it stays with the unit, so that places add up and cuts leave no blank line behind.
+LINE, PARAGRAPH, SENTENCE = r"\n", r"\n\n+", r"\n|[.!?]\x20"
+SPACES = re.compile(r"[\x20\x09-\x0D]+")
+KIND = "units array<struct<start:int,end:int,digest:binary>>"
+
+
+def units_of(text: str, ends: re.Pattern, least_words: int) -> list[tuple[int, int, bytes]]:
+    """(start, end, digest) of the units that have words enough."""
+    out, at = [], 0
+    for end in (*(m.end() for m in ends.finditer(text)), len(text)):
+        if at < end:
+            normal = SPACES.sub(" ", text[at:end].lower()).strip(" ")
+            if normal and normal.count(" ") >= least_words - 1:
+                out.append((at, end, blake2b(normal.encode(), digest_size=16).digest()))
+            at = end
+    return out
 
 
-def _normal(unit):
-    return F.trim(F.regexp_replace(F.lower(unit), r"[\x20\x09-\x0D]+", " "))
+def _split(separator: str, least_words: int):
+    ends = re.compile(separator)
+    kind = pa.list_(pa.struct([pa.field("start", pa.int32()), pa.field("end", pa.int32()), pa.field("digest", pa.binary())]))
 
+    def make(_, buf, offs) -> list:
+        raw = buf.tobytes()
+        return [pa.array([[dict(zip(("start", "end", "digest"), u, strict=True)) for u in units_of(raw[a:b].decode(), ends, least_words)] for a, b in zip(offs[:-1].tolist(), offs[1:].tolist(), strict=True)], kind)]
 
-def units(rows: DataFrame, row: str, text: str, separator: str, least_words: int) -> DataFrame:
-    """_row, _rank, _at, _end and _digest of every unit that is long enough."""
-    each = rows.select(F.col(row).alias("_row"), "_rank", F.posexplode(F.split(F.col(text), separator)).alias("_n", "_unit")).withColumn("_normal", _normal(F.col("_unit")))
-    enough = (F.length("_normal") - F.length(F.replace("_normal", F.lit(" "))) >= least_words - 1) & (F.col("_normal") != "")
-    short = each.select("_row", "_rank", "_n", F.length("_unit").alias("_length"), F.when(enough, F.unhex(F.md5("_normal"))).alias("_digest"))
-    end = F.sum("_length").over(Window.partitionBy("_row").orderBy("_n").rowsBetween(Window.unboundedPreceding, 0)).cast("int")
-    return short.withColumn("_end", end).filter("_digest IS NOT NULL").select("_row", "_rank", (F.col("_end") - F.col("_length")).alias("_at"), "_end", "_digest")
+    return make
 
 
-def repeats(docs: DataFrame, keep: list[str], key: str = "doc_id", text: str = "text", separator: str = LINE, least_words: int = LEAST_WORDS) -> DataFrame:
+def repeats(docs: DataFrame, keep: list[str], key: str = "doc_id", text: str = "text", separator: str = SENTENCE, least_words: int = LEAST_WORDS) -> DataFrame:
     """Columns `keep` and _removed of every row: the code-point ranges of units that occur earlier in rank, in order."""
-    body = unused(docs, "_body")
-    rank = F.struct(F.col(f"`{key}`").isNull().alias("n"), F.col(f"`{key}`").alias("k"), F.xxhash64(F.col(f"`{text}`")).alias("h"))
-    numbered = docs.select(*(F.col(f"`{c}`") for c in keep if c != text), F.col(f"`{text}`").alias(body), rank.alias("_rank")).withColumn("_row", F.monotonically_increasing_id())
-    base = written(numbered, "lines-base")
-    found = written(units(base, "_row", body, separator, least_words), "lines-units")
-    first = found.groupBy("_digest").agg(F.count(F.lit(1)).alias("_n"), F.min(F.struct("_rank", "_row", "_at")).alias("_first")).filter("_n > 1")
-    first = written(first, "lines-first")  # a plain shuffle on both sides of the join, which adaptive execution can split
-    late = found.join(first, "_digest").filter((F.col("_row") != F.col("_first._row")) | (F.col("_at") != F.col("_first._at")))
-    lists = late.groupBy("_row").agg(F.sort_array(F.collect_list(F.struct(F.col("_at").alias("start"), F.col("_end").alias("end")))).alias("_removed"))
+    row, own = unused(docs, "_row"), [*dict.fromkeys([*keep, key])]
+    base = written(add_struct(docs, own, "_made", KIND, _split(separator, least_words), text).withColumn(row, F.monotonically_increasing_id()), "units")
+    each = base.select(F.struct(F.col(f"`{key}`").isNull().alias("n"), F.col(f"`{key}`").alias("k"), F.col(row).alias("r")).alias("_rank"), F.explode("_made.units").alias("u"))
+    found = each.select("_rank", F.col("u.start").alias("_at"), F.col("u.end").alias("_end"), F.col("u.digest").alias("_digest"))
+    first = found.groupBy("_digest").agg(F.count(F.lit(1)).alias("_n"), F.min(F.struct("_rank", "_at")).alias("_first")).filter("_n > 1").select(F.col("_digest").alias("_d"), "_first")
+    first = written(first, "units-first")  # a plain shuffle on both sides of the join, which adaptive execution can split
+    late = found.join(first, F.col("_digest") == F.col("_d")).filter((F.col("_rank.r") != F.col("_first._rank.r")) | (F.col("_at") != F.col("_first._at")))
+    lists = late.groupBy(F.col("_rank.r").alias("_r")).agg(F.sort_array(F.collect_list(F.struct(F.col("_at").alias("start"), F.col("_end").alias("end")))).alias("_removed"))
     none = F.array().cast("array<struct<start:int,end:int>>")
-    out = base.join(lists, "_row", "left").withColumn("_removed", F.coalesce("_removed", none))
-    return out.select(*(F.col(body).alias(c) if c == text else F.col(f"`{c}`") for c in keep), "_removed")
+    return base.join(lists, F.col(row) == F.col("_r"), "left").select(*(F.col(f"`{c}`") for c in keep), F.coalesce("_removed", none).alias("_removed"))
 
 
 def without(text, spans):
@@ -68,9 +84,8 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLE = r"""
-WITH d AS (SELECT row_number() OVER () AS k, doc_id, coalesce(text, '') AS t FROM documents),
-l AS (SELECT k, doc_id, n, ls, ls[n] || CASE WHEN n < len(ls) THEN chr(10) ELSE '' END AS unit
-      FROM (SELECT k, doc_id, ls, unnest(range(1, len(ls) + 1)) AS n FROM (SELECT k, doc_id, string_split(t, chr(10)) AS ls FROM d))),
+WITH d AS (SELECT row_number() OVER () AS k, doc_id, string_split(regexp_replace(coalesce(text, ''), '(\n|[.!?] )', '\1' || chr(1), 'g'), chr(1)) AS us FROM documents),
+l AS (SELECT k, doc_id, n, us[n] AS unit FROM (SELECT k, doc_id, us, unnest(range(1, len(us) + 1)) AS n FROM d)),
 p AS (SELECT k, doc_id, n, unit, (sum(length(unit)) OVER (PARTITION BY k ORDER BY n))::BIGINT AS e,
              trim(regexp_replace(lower(unit), '[ \t-\r]+', ' ', 'g')) AS norm FROM l),
 u AS (SELECT *, e - length(unit) AS s, len(string_split(norm, ' ')) >= 5 AS enough FROM p),

@@ -102,14 +102,14 @@ def test_damage_is_noticed():
         warc.directory(io.BytesIO(b"PK\5\6" + b"\xff" * 18), 22)
 
 
-def brute_lines(rows, least=line_dedup.LEAST_WORDS):
+def brute_lines(rows, ends, least=line_dedup.LEAST_WORDS):
     import re
 
     ranked = sorted(range(len(rows)), key=lambda i: (rows[i][0] is None, rows[i][0] or 0))
     seen, out = set(), {}
     for i in ranked:
         at, spans = 0, []
-        for unit in re.split(r"(?<=\n)", rows[i][1] or ""):
+        for unit in re.split(ends, rows[i][1] or ""):
             normal = re.sub(r"[\x20\x09-\x0D]+", " ", unit.lower()).strip(" ")
             if normal and normal.count(" ") >= least - 1:
                 if normal in seen:
@@ -120,9 +120,10 @@ def brute_lines(rows, least=line_dedup.LEAST_WORDS):
     return out
 
 
-def test_lines_equal_brute_force(docs, awkward, no_docs):
-    want = brute_lines(awkward)
-    rows = line_dedup.repeats(docs, ["doc_id", "text", "n_chars"]).collect()
+@pytest.mark.parametrize(("separator", "ends"), [(line_dedup.LINE, r"(?<=\n)"), (line_dedup.SENTENCE, r"(?<=\n)|(?<=[.!?] )")])
+def test_lines_equal_brute_force(docs, awkward, no_docs, separator, ends):
+    want = brute_lines(awkward, ends)
+    rows = line_dedup.repeats(docs, ["doc_id", "text", "n_chars"], separator=separator).collect()
     with_id = lambda keep: sorted(repr(x) for x in keep)
     assert with_id((r.doc_id, r.text, [(s.start, s.end) for s in r._removed]) for r in rows if r.doc_id is not None) == with_id((awkward[i][0], awkward[i][1], s) for i, s in want.items() if awkward[i][0] is not None)
     assert len(rows) == len(awkward) and sum(len(r._removed) for r in rows) == sum(map(len, want.values()))
@@ -133,3 +134,10 @@ def test_paragraphs(spark):
     df = spark.createDataFrame([(1, "a b c d e\n\nf g h i j k\nx\n\nend"), (2, "F g  h i j k\nx\n\nmore")], "doc_id bigint, text string")
     rows = {r.doc_id: r for r in line_dedup.repeats(df, ["doc_id", "text"], separator=line_dedup.PARAGRAPH).collect()}
     assert rows[1]._removed == [] and [(s.start, s.end) for s in rows[2]._removed] == [(0, 16)]
+
+
+def test_passages_inside_lines(spark):
+    passage = "One two three four five six. Seven eight nine ten eleven twelve! Thirteen fourteen fifteen sixteen seventeen"
+    df = spark.createDataFrame([(1, f"start of it {passage} end."), (2, f"Another {passage} here"), (3, "clean text of its own. Nothing shared at all here.")], "doc_id bigint, text string")
+    rows = {r.doc_id: [r.text[s.start : s.end] for s in r._removed] for r in line_dedup.repeats(df, ["doc_id", "text"]).collect()}
+    assert rows == {1: [], 2: ["Seven eight nine ten eleven twelve! "], 3: []}

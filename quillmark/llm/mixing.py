@@ -28,6 +28,8 @@ from quillmark.llm._tables import documents, row_key, written
 
 WORD = r"[^\x20\x09-\x0D]+"
 BUCKETS = 1024
+SHARDS = 4096
+PIECE = 1 << 16
 
 
 @dataclass(frozen=True)
@@ -38,7 +40,7 @@ class Mix:
     #: Words of the output as a share of all words.
     share: float = 1.0
     block: int = 64
-    #: Slots of an output shard.
+    #: Slots of an output shard, or more where there would be over SHARDS.
     shard: int = 8192
     seed: int = 20240229
 
@@ -64,8 +66,9 @@ def targets(sizes: list[int], mix: Mix) -> list[float]:
 def draw_shards(slots: np.ndarray, mix: Mix) -> np.ndarray:
     """How many slots of each source each shard holds: multinomial draws over the slots that are left; rows are shards."""
     left, rng, rows = slots.astype(np.int64).copy(), np.random.default_rng(mix.seed), []
+    size = max(mix.shard, -(-int(left.sum()) // SHARDS))
     while (rest := int(left.sum())) > 0:
-        want, got = min(mix.shard, rest), np.zeros(len(left), np.int64)
+        want, got = min(size, rest), np.zeros(len(left), np.int64)
         while want:
             drawn = np.minimum(rng.multinomial(want, left / left.sum()), left)
             got, left, want = got + drawn, left - drawn, want - int(drawn.sum())
@@ -124,13 +127,15 @@ def slots(spark: SparkSession, sizes: list[int], aims: list[float], mix: Mix) ->
     def run(batches):
         for batch in batches:
             for r in batch.to_pylist():
-                j, n = np.arange(r["before"], r["before"] + r["slots"]), r["blocks"]
-                turn, place = j // n, np.empty(len(j), np.int64)
-                for t in np.unique(turn).tolist():
-                    here = turn == t
-                    place[here] = permuted(j[here] % n, n, (seed * 1_000_003 + r["rank"]) * 1_009 + t)
-                full = lambda v: np.full(len(j), r[v], np.int32)  # noqa: E731, B023
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (full("shard"), full("rank"), j, turn.astype(np.int32), place)], ["shard", "rank", "j", "pass", "block"])
+                n, stop = r["blocks"], r["before"] + r["slots"]
+                for first in range(r["before"], stop, PIECE):
+                    j = np.arange(first, min(first + PIECE, stop))
+                    turn, place = j // n, np.empty(len(j), np.int64)
+                    for t in np.unique(turn).tolist():
+                        here = turn == t
+                        place[here] = permuted(j[here] % n, n, (seed * 1_000_003 + r["rank"]) * 1_009 + t)
+                    full = lambda v: np.full(len(j), r[v], np.int32)  # noqa: E731, B023
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (full("shard"), full("rank"), j, turn.astype(np.int32), place)], ["shard", "rank", "j", "pass", "block"])
 
     return drawn.mapInArrow(run, "shard int, rank int, j bigint, pass int, block bigint")
 

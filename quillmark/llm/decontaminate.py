@@ -26,28 +26,34 @@ KIND = "n_words bigint, hit_words array<int>, items array<string>, spans array<s
 
 
 class WindowSet:
-    """The windows of some items: by length in words, hashes in order, and for each hash its windows' texts and item ids."""
+    """The windows of some items: by length in words, hashes in order with each window's item and first word. Texts are kept once, as the items' words."""
 
     def __init__(self, ids: list[str], texts: list[str], window: int = WINDOW):
         data = [t.encode() for t in texts]
         offs = np.cumsum([0, *map(len, data)])
-        low, starts, ends, rows = B.plain_words(np.frombuffer(b"".join(data), np.uint8), offs)
-        raw, hashes = low.tobytes(), B.slice_hashes(low, starts, ends) if len(starts) else np.zeros(0, np.uint64)
+        low, self.starts, self.ends, rows = B.plain_words(np.frombuffer(b"".join(data), np.uint8), offs)
+        self.raw, self.ids, hashes = low.tobytes(), ids, B.slice_hashes(low, self.starts, self.ends) if len(rows) else np.zeros(0, np.uint64)
         count = B.per_row(rows, len(ids)) if len(ids) else np.zeros(0, np.int64)
-        first = np.concatenate([[0], np.cumsum(count)])
-        self.by_length: dict[int, tuple[np.ndarray, np.ndarray, dict]] = {}
-        found: dict[int, dict[int, dict[bytes, set[str]]]] = {}
+        self.by_length: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = {}
         for length in {min(int(c), window) for c in count if c}:
             at = B.window_hashes(hashes, length)
-            for i in np.flatnonzero((count == length) if length < window else (count >= window)):
-                for w in range(first[i], first[i + 1] - length + 1):
-                    text = b" ".join(raw[starts[k] : ends[k]] for k in range(w, w + length))
-                    found.setdefault(length, {}).setdefault(int(at[w]), {}).setdefault(text, set()).add(ids[i])
-        for length, windows in found.items():
-            ordered = np.array(sorted(windows), np.uint64)
+            places = np.flatnonzero(B.whole_windows(rows, length) & (np.minimum(count, window) == length)[rows[: len(at)]])
+            places = places[np.argsort(at[places], kind="stable")]
             likely = np.zeros(1 << 16, bool)
-            likely[(ordered >> np.uint64(48)).astype(np.int64)] = True
-            self.by_length[length] = ordered, likely, windows
+            likely[(at[places] >> np.uint64(48)).astype(np.int64)] = True
+            self.by_length[length] = at[places], likely, places, rows[places]
+        self.known: dict[tuple, frozenset] = {}
+
+    def items(self, length: int, key: np.uint64, text: bytes) -> frozenset:
+        """Ids of the items that hold the window, compared word by word; remembered for windows that occur."""
+        if (found := self.known.get((length, text))) is None:
+            ordered, _, places, rows = self.by_length[length]
+            first, last = np.searchsorted(ordered, key), np.searchsorted(ordered, key, "right")
+            same = [i for i in range(first, last) if b" ".join(self.raw[self.starts[k] : self.ends[k]] for k in range(places[i], places[i] + length)) == text]
+            found = frozenset(self.ids[rows[i]] for i in same)
+            if found:
+                self.known[length, text] = found
+        return found
 
 
 def _scan(buf: np.ndarray, offs: np.ndarray, windows: WindowSet) -> list:
@@ -59,13 +65,13 @@ def _scan(buf: np.ndarray, offs: np.ndarray, windows: WindowSet) -> list:
     first = np.concatenate([[0], np.cumsum(n_words)])
     hashes = B.slice_hashes(low, starts, ends) if len(starts) else np.zeros(0, np.uint64)
     hits, items = np.zeros(len(starts) + 1, np.int32), [set() for _ in range(n)]
-    for length, (ordered, likely, texts) in windows.by_length.items():
+    for length, (ordered, likely, *_) in windows.by_length.items():
         at = B.window_hashes(hashes, length)
         maybe = np.flatnonzero(likely[(at >> np.uint64(48)).astype(np.int64)] & B.whole_windows(rows, length))
         place = np.minimum(np.searchsorted(ordered, at[maybe]), len(ordered) - 1)
         for w in maybe[ordered[place] == at[maybe]].tolist():
             text = b" ".join(low[starts[k] : ends[k]].tobytes() for k in range(w, w + length))
-            if ids := texts[int(at[w])].get(text):
+            if ids := windows.items(length, at[w], text):
                 hits[w] += 1
                 hits[w + length] -= 1
                 items[rows[w]] |= ids

@@ -26,7 +26,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillmark.llm import _blocks as B
@@ -199,11 +199,7 @@ def _stars(batches):
     a, b = [], []
     for _, parts in _grouped(batches, 1):
         keys = [k for p in parts for k in p.column(1).to_pylist()]
-        if len(keys) > BUCKET:
-            least = min(keys)
-            a += [least] * len(keys)
-            b += keys
-        elif len(keys) > 1:
+        if len(keys) > 1:
             sketch = np.frombuffer(b"".join(s for p in parts for s in p.column(2).to_pylist()), "<u2").reshape(len(keys), SAMPLES)
             label = np.arange(len(keys))
             for i in range(len(keys) - 1):
@@ -326,10 +322,12 @@ def classes(texts: DataFrame) -> DataFrame:
     sketched = written(texts.select("key", "text").mapInArrow(_sketches(idf), "key binary, sketch binary, bands array<bigint>"), "near-sketches")
     once = written(sketched.groupBy("key").agg(F.first("sketch").alias("sketch"), F.first("bands").alias("bands")), "near-texts")
     banded = once.select("key", F.explode(F.array_distinct("bands")).alias("band"))
-    by_band = Window.partitionBy("band").orderBy("key")
-    shared = banded.select("band", "key", F.lag("key").over(by_band).alias("_a"), F.lead("key").over(by_band).alias("_b")).filter("_a IS NOT NULL OR _b IS NOT NULL")
-    members = shared.select("band", "key").join(once.select(F.col("key").alias("_key"), "sketch"), F.col("key") == F.col("_key")).select("band", "key", "sketch")
-    stars = members.repartition("band").sortWithinPartitions("band").mapInArrow(_stars, "a binary, b binary")
+    shared = banded.groupBy(F.col("band").alias("_band")).agg(F.count(F.lit(1)).alias("_n"), F.min("key").alias("_least")).filter("_n > 1")
+    buckets = written(banded.join(written(shared, "near-bands"), F.col("band") == F.col("_band")).select("band", "key", "_n", "_least"), "near-buckets")
+    small = buckets.filter(F.col("_n") <= BUCKET).select("band", "key").join(once.select(F.col("key").alias("_key"), "sketch"), F.col("key") == F.col("_key")).select("band", "key", "sketch")
+    stars = small.repartition("band").sortWithinPartitions("band").mapInArrow(_stars, "a binary, b binary")
+    # A larger bucket is one star, which needs no task to hold it.
+    stars = stars.unionByName(buckets.filter(F.col("_n") > BUCKET).select(F.col("_least").alias("a"), F.col("key").alias("b")))
     groups = components(stars, "near-stars")
     links = _groups(texts, groups).repartition("group", "pair").sortWithinPartitions("group", "pair").mapInArrow(_verified(idf), "a binary, b binary")
     return components(links, "near-links")

@@ -90,3 +90,21 @@ def exists(spark: SparkSession, path: str) -> bool:
 def stats(embeddings: DataFrame) -> DataFrame:
     """kind, number of vectors and their dimension."""
     return embeddings.groupBy("kind").agg(F.count(F.lit(1)).alias("total"), F.max(F.size("embedding")).cast("bigint").alias("dimension"))
+
+
+def versions(spark: SparkSession, folder: str) -> list[str]:
+    """Paths of the kept versions below a folder, oldest first."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    return sorted(f"{folder}/{s.getPath().getName()}" for s in fs.listStatus(target) if s.getPath().getName().startswith("v")) if fs.exists(target) else []
+
+
+def write_version(embeddings: DataFrame, folder: str, keep: int = K.EMBEDDINGS_KEPT) -> str:
+    """Writes a new version and drops all but the newest `keep`; returns its path."""
+    spark, old = embeddings.sparkSession, versions(embeddings.sparkSession, folder)
+    path = f"{folder}/v{int(old[-1].rpartition('/v')[2]) + 1 if old else 0:09d}"
+    write(embeddings, path)
+    for gone in versions(spark, folder)[:-keep]:
+        target = spark._jvm.org.apache.hadoop.fs.Path(gone)
+        target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+    return path

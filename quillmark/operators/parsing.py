@@ -8,10 +8,12 @@ from __future__ import annotations
 
 import ast
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
+from functools import reduce
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillmark.functions import constants as K
@@ -170,20 +172,63 @@ def _fallback(source: str) -> Iterator[tuple]:
             yield m[1], "class", n, 0, f"class {m[1]}{m[2] or ''}:", None
 
 
+@dataclass(frozen=True)
+class Parser:
+    """Files of some suffixes to rows: `parse` takes files(path, content) and returns SECTION or SYMBOL rows."""
+
+    name: str
+    suffixes: tuple[str, ...]
+    parse: Callable[[DataFrame], DataFrame]
+    makes: str
+
+
+PARSERS: list[Parser] = [
+    Parser("markdown", tuple(K.PARSER_SUFFIXES["markdown"]), markdown_sections, "sections"),
+    Parser("rst", tuple(K.PARSER_SUFFIXES["rst"]), rst_sections, "sections"),
+    Parser("python", tuple(K.PARSER_SUFFIXES["python"]), python_symbols, "symbols"),
+    Parser("javascript", tuple(K.PARSER_SUFFIXES["javascript"]), javascript_symbols, "symbols"),
+]
+
+
+def add_parser(parser: Parser) -> None:
+    """Adds a parser behind the others; the first that has a suffix takes its files."""
+    if parser.makes not in ("sections", "symbols"):
+        raise ValueError(f"A parser makes sections or symbols, not {parser.makes}")
+    PARSERS.append(parser)
+
+
 def parser_of(path: Column | str) -> Column:
     """The parser of a file's suffix; null for none."""
     out, end = F.lit(None).cast("string"), T.suffix(path)
-    for name, suffixes in reversed(K.PARSER_SUFFIXES.items()):
-        out = F.when(end.isin(suffixes), name).otherwise(out)
+    for parser in reversed(PARSERS):
+        out = F.when(end.isin(*parser.suffixes), parser.name).otherwise(out)
     return out
 
 
+def _parsed(files: DataFrame, makes: str) -> DataFrame:
+    parts = [p.parse(files.filter(parser_of("path") == p.name)) for p in PARSERS if p.makes == makes]
+    return reduce(DataFrame.unionByName, parts)
+
+
 def parsed_sections(files: DataFrame) -> DataFrame:
-    return markdown_sections(files.filter(parser_of("path") == "markdown")).unionByName(rst_sections(files.filter(parser_of("path") == "rst")))
+    return _parsed(files, "sections")
 
 
 def parsed_symbols(files: DataFrame) -> DataFrame:
-    return python_symbols(files.filter(parser_of("path") == "python")).unionByName(javascript_symbols(files.filter(parser_of("path") == "javascript")))
+    return _parsed(files, "symbols")
+
+
+class PythonSymbols:
+    """A table function over (path, source) for SQL: SELECT s.* FROM files, LATERAL python_symbols(path, content) s."""
+
+    def eval(self, path: str, source: str):
+        found = python_symbols_of(source or "")
+        for n, t, line, column, signature, doc in found if found is not None else _fallback(source or ""):
+            yield n, t, path, line, column, "global", signature, doc
+
+
+def register_table_functions(spark: SparkSession) -> None:
+    spark.udtf.register("python_symbols", F.udtf(PythonSymbols, returnType=SYMBOL))
 
 
 def _after(x: Column, mark: str) -> Column:

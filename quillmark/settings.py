@@ -66,3 +66,15 @@ def load(path: str | Path) -> Settings:
 def save(settings: Settings, path: str | Path) -> None:
     Path(path).parent.mkdir(parents=True, exist_ok=True)
     Path(path).write_text(json.dumps(asdict(settings), indent=2), encoding="utf-8")
+
+
+def configure_logging(level: str = "INFO", file: str | Path | None = None) -> None:
+    """Logs to the console and, if it can be opened, to a file; else a warning says so."""
+    log.setLevel(level)
+    log.handlers = [logging.StreamHandler()]
+    if file is not None:
+        try:
+            Path(file).parent.mkdir(parents=True, exist_ok=True)
+            log.addHandler(logging.FileHandler(file, encoding="utf-8"))
+        except OSError as error:
+            log.warning("no log file at %s: %s", file, error)

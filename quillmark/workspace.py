@@ -1,6 +1,7 @@
 """Building and opening a workspace's index: scan, parse, index, embed, pack, register.
 
-Every product is an independent write over the parsed tables; parsed sections and symbols are written first and read again, so files are read once.
+Scanned files are written first, with their text, and parsed from there, so that the directory is read once; every further product is an independent write over
+the parsed sections and symbols. Reads of the files table for metadata alone leave the text column out.
 """
 
 from __future__ import annotations
@@ -35,6 +36,13 @@ class Workspace:
         path = f"{self.path}/vectors"
         return embedding.load(self.spark, path, kind) if embedding.exists(self.spark, path) else None
 
+    def create_views(self, prefix: str = "") -> list[str]:
+        """Registers the index's tables as temporary views, for SQL."""
+        names = {t: f"index/{t}" for t in index.TABLES} | {t: t for t in ("files", "sections", "symbols", "chunks", "summaries")}
+        for view, path in names.items():
+            self.table(path).createOrReplaceTempView(prefix + view)
+        return [prefix + view for view in names]
+
     def exists(self) -> bool:
         return embedding.exists(self.spark, f"{self.path}/index/corpus_stats/_SUCCESS")
 
@@ -42,8 +50,8 @@ class Workspace:
 def _products(found: DataFrame, out: str, settings: Settings, factory) -> None:
     """Writes every table of an index from the scanned files."""
     spark = found.sparkSession
-    found.drop("content").write.mode("overwrite").parquet(f"{out}/files")
-    eligible = found.filter(F.col("file_type").isin("documents", "code")).select("path", "content")
+    found.write.mode("overwrite").parquet(f"{out}/files")
+    eligible = spark.read.parquet(f"{out}/files").filter(F.col("file_type").isin("documents", "code")).select("path", "content")
     parsing.parsed_sections(eligible).write.mode("overwrite").parquet(f"{out}/sections")
     parsing.parsed_symbols(eligible).write.mode("overwrite").parquet(f"{out}/symbols")
     sections, symbols = spark.read.parquet(f"{out}/sections"), spark.read.parquet(f"{out}/symbols")

@@ -102,3 +102,19 @@ def test_tags_and_settings(spark):
 
     assert [r[0] for r in df.select(classify.tags(F.col("k"), F.col("p"))).collect()] == [["python", "documentation", "testing"], ["go"]]
     assert classify.language_settings("documentation")["indexing"]["chunk_size"] == 256 and classify.language_settings("x") == {}
+
+
+def test_own_parser_and_table_function(spark, monkeypatch):
+    monkeypatch.setattr(parsing, "PARSERS", list(parsing.PARSERS))
+    parsing.add_parser(parsing.Parser("notes", (".note",), parsing.markdown_sections, "sections"))
+    df = files(spark, ("a.note", "# N"), ("b.md", "# M"), ("c.py", "def f(): pass"))
+    assert sorted(r.title for r in parsing.parsed_sections(df).collect()) == ["M", "N"]
+    assert [r.name for r in parsing.parsed_symbols(df).collect()] == ["f"]
+    parsing.register_table_functions(spark)
+    df.createOrReplaceTempView("some_files")
+    rows = spark.sql("SELECT s.name, s.line_number FROM some_files, LATERAL python_symbols(path, content) s WHERE path LIKE '%.py'").collect()
+    assert [tuple(r) for r in rows] == [("f", 1)]
+    import pytest
+
+    with pytest.raises(ValueError):
+        parsing.add_parser(parsing.Parser("x", (), parsing.markdown_sections, "words"))

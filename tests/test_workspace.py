@@ -56,6 +56,8 @@ def test_build_query_update(spark, project, tmp_path):
         bad = server.query(Request("x", format="json", limit="no"))
         assert bad.results_count == 0 and "error" in bad.metadata
     assert "quokka" in quick_query(opened, "quokka setup") and "quokka" in cli.query_directory(str(project), "quokka setup", spark)
+    assert "w_postings" in opened.create_views("w_")
+    assert spark.sql("SELECT count(*) AS n FROM w_sections WHERE level = 1").first().n == 4
     assert workspace.update(spark, str(project)) == {"changed": 0, "deleted": 0}
     (project / "code.py").unlink()
     (project / "new.md").write_text("# New\nA numbat lives here.")
@@ -194,3 +196,21 @@ def test_query_log_stream(spark, tmp_path):
     q = stream.writeStream.format("memory").queryName("windows").outputMode("append").trigger(availableNow=True).start()
     q.awaitTermination()
     assert [(r.queries, r.mean_seconds) for r in spark.sql("SELECT * FROM windows").collect()] == [(2, 2.0)]
+
+
+def test_versions_of_embeddings(spark, tmp_path):
+    rows = embedding.encoded(spark.createDataFrame([("code", "s", "c", "x")], "kind string, section_id string, chunk_id string, chunk string"))
+    made = [embedding.write_version(rows, f"{tmp_path}/v", keep=2) for _ in range(4)]
+    assert embedding.versions(spark, f"{tmp_path}/v") == made[-2:] and embedding.load(spark, made[-1], "code").count() == 1
+
+
+def test_prompts_and_log_files(tmp_path, capsys):
+    answers = iter(["", "  ", "a name"])
+    assert cli.asked("?", read=lambda _: next(answers)) == "a name" and cli.asked("?", "d", lambda _: "") == "d"
+    settings.configure_logging("INFO", tmp_path / "logs" / "x.log")
+    settings.log.info("hello")
+    assert "hello" in (tmp_path / "logs" / "x.log").read_text()
+    (tmp_path / "plain").write_text("")
+    settings.configure_logging("INFO", tmp_path / "plain" / "x.log")
+    settings.configure_logging()
+    assert cli.package_info()["version"]

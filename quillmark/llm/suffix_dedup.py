@@ -34,9 +34,11 @@ LENGTH = 400
 K = 64
 SPAN = LENGTH - K
 CHUNK = 4 << 20
-SPLIT = 4 << 20
+SPLIT = 512 << 10
 SUBRANGES = (1, 16, SPAN + 1)
 BATCH = 64 << 10
+#: Suffixes whose whole keys may be held at once; more are compared STEP bytes at a time.
+AT_ONCE, STEP = 150_000, 64
 U64 = np.uint64
 PLACE = U64((1 << 24) - 1)
 ANCHORS = "key binary, v bigint, seg bigint, lo int, len int"
@@ -87,6 +89,27 @@ def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x) for x in columns], ["key", "v", "seg", "lo", "len"])
 
 
+def _sorted_direct(data: bytes, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
+    """The starts in the order of data[start:stop]; memory is bounded by AT_ONCE whole keys or STEP bytes of each."""
+    todo, out = [(0, len(starts), 0)], np.stack([starts, stops], 1)
+    while todo:
+        lo, hi, at = todo.pop()
+        part = out[lo:hi]
+        few = hi - lo <= AT_ONCE
+        ends = part[:, 1] if few else np.minimum(part[:, 0] + at + STEP, part[:, 1])
+        keys = [data[a:b] for a, b in zip((part[:, 0] + at).tolist(), ends.tolist(), strict=True)]
+        order = sorted(range(len(keys)), key=keys.__getitem__)
+        out[lo:hi] = part[order]
+        if not few:
+            first = 0
+            for i in range(1, len(order) + 1):
+                if i == len(order) or keys[order[i]] != keys[order[first]]:
+                    if i - first > 1 and len(keys[order[first]]) == STEP:
+                        todo.append((lo + first, lo + i, at + STEP))
+                    first = i
+    return out[:, 0]
+
+
 def suffix_order(data: bytes, ends: np.ndarray, depth: int = LENGTH) -> np.ndarray:
     """The suffixes of strings laid end to end, ordered by their first `depth` bytes; ends: of the strings, none empty.
 
@@ -103,8 +126,7 @@ def suffix_order(data: bytes, ends: np.ndarray, depth: int = LENGTH) -> np.ndarr
     smaller = rise[np.minimum.accumulate(known[::-1])[::-1]] > 0
     direct = np.flatnonzero(smaller)
     stop = np.minimum(direct + depth, ends[np.searchsorted(ends, direct, "right")])
-    keys = [data[a:b] for a, b in zip(direct.tolist(), stop.tolist(), strict=True)]
-    direct = direct[np.array(sorted(range(len(keys)), key=keys.__getitem__), np.int64)] if keys else direct
+    direct = _sorted_direct(data, direct, stop)
     cut = np.searchsorted(t[direct], np.arange(257))
     queues: list[list[np.ndarray]] = [[] for _ in range(256)]
 
@@ -253,8 +275,11 @@ def _sorted_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
     held: list[tuple] = []
 
     def judged() -> pa.RecordBatch:
-        found = repeated_windows([h[5] for h in held], np.array([h[3] for h in held]))
-        rows = [(h[1], h[2], [{"s": int(a) + h[4], "e": int(b) + h[4]} for a, b in zip(*ranges_of(x), strict=True)]) for h, x in zip(held, found, strict=True) if len(x)]
+        counts: dict[bytes, int] = {}
+        for h in held:
+            counts[h[5]] = counts.get(h[5], 0) + h[3]
+        found = dict(zip(counts, repeated_windows(list(counts), np.array(list(counts.values()))), strict=True))
+        rows = [(h[1], h[2], [{"s": int(a) + h[4], "e": int(b) + h[4]} for a, b in zip(*ranges_of(found[h[5]]), strict=True)]) for h in held if len(found[h[5]])]
         kind = pa.list_(pa.struct([pa.field("s", pa.int32()), pa.field("e", pa.int32())]))
         return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.int64(), kind))], ["v", "seg", "ranges"])
 

@@ -53,7 +53,10 @@ def test_chunks_of_one_text_make_the_same_windows(monkeypatch):
     assert windows() == whole and len(whole) == len(text.encode()) - 399
 
 
-def test_suffix_order_and_common_prefixes():
+@pytest.mark.parametrize(("at_once", "step"), [(suffix_dedup.AT_ONCE, suffix_dedup.STEP), (3, 2)])
+def test_suffix_order_and_common_prefixes(monkeypatch, at_once, step):
+    monkeypatch.setattr(suffix_dedup, "AT_ONCE", at_once)
+    monkeypatch.setattr(suffix_dedup, "STEP", step)
     rnd = random.Random(3)
     for _ in range(200):
         strings = [bytes(rnd.choice(b"ab\x00\xff c") for _ in range(rnd.randint(1, 60))) for _ in range(rnd.randint(1, 6))]

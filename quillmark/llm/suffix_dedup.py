@@ -8,7 +8,8 @@ place; strings that could be equal are brought together first:
 2. Segments whose anchor occurs twice or more anywhere are kept; equal ones become one row with a count, by partial aggregation, so copies of texts, however many, collapse.
 3. The bytes of one copy of each are fetched, grouped by anchor, and each group's suffixes are sorted in two stages: those smaller than their successors directly,
    the others induced by scans of the first-byte buckets. Common prefixes of neighbours give the runs of equal windows; a run repeats if its counts sum to two or more.
-   An anchor with over SPLIT bytes of different segments is dealt out by sub-ranges of its windows and the bytes that all windows of a sub-range share, at the last one group for each window.
+   An anchor with over SPLIT bytes of different segments is dealt out by sub-ranges of its windows and the bytes that all windows of a sub-range share. Before sorting, equal
+   strings of a group become one with a count again: a passage in many different surroundings leaves a few.
 4. Repeated windows go back to the texts that hold the segments, their ranges are united, and the remaining bytes hashed.
 
 Texts are shuffled twice, compressed; besides them, a row for each segment.
@@ -35,7 +36,7 @@ K = 64
 SPAN = LENGTH - K
 CHUNK = 4 << 20
 SPLIT = 512 << 10
-SUBRANGES = (1, 16, SPAN + 1)
+SUBRANGES = (1, 16, 64)
 BATCH = 64 << 10
 #: Suffixes whose whole keys may be held at once; more are compared STEP bytes at a time.
 AT_ONCE, STEP = 150_000, 64
@@ -215,17 +216,21 @@ def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(batch.num_columns - 1)), made], [*batch.schema.names[:-1], "packed"])
 
 
-SEGMENT = "grp bigint, v bigint, seg bigint, n bigint, at int, body binary"
+SEGMENT = "grp bigint, mark bigint, v bigint, seg bigint, n bigint, at int, body binary"
 
 
 def _bodies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """SEGMENT rows of (key, packed, refs) rows; equal keys in a row are read once."""
+    """SEGMENT rows of (key, packed, refs) rows; equal keys in a row are read once. mark: of the body, which is there once for each group and mark of a task."""
     import zstandard
     from xxhash import xxh3_64_intdigest
 
-    unpack, before = zstandard.ZstdDecompressor().decompress, None
+    unpack, before, seen = zstandard.ZstdDecompressor().decompress, None, set()
     signed = lambda x: x - (1 << 64) if x >> 63 else x
-    names, kinds = ["grp", "v", "seg", "n", "at", "body"], [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
+    names, kinds = ["grp", "mark", "v", "seg", "n", "at", "body"], [*[pa.int64()] * 5, pa.int32(), pa.binary()]
+
+    def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+
     for batch in batches:
         out, held = [], 0
         for i in range(batch.num_rows):
@@ -235,17 +240,20 @@ def _bodies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for r in batch.column(2)[i].as_py():
                 body = text[r["lo"] : r["lo"] + r["len"]]
                 if r["parts"] == 1:
-                    out.append((r["v"], r["v"], r["seg"], r["n"], 0, body))
+                    out.append((r["v"], r["seg"], r["v"], r["seg"], r["n"], 0, body))
                     held += len(body)
                 else:
-                    for grp, at, part in _subranges(body, r["parts"], r["v"]):
-                        out.append((signed(xxh3_64_intdigest(grp)), r["v"], r["seg"], r["n"], at, part))
-                        held += len(part)
-            if held > 4 << 20:
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), kinds, strict=True)], names)
-                out, held = [], 0
+                    for name, at, part in _subranges(body, r["parts"], r["v"]):
+                        grp, mark = signed(xxh3_64_intdigest(name)), signed(xxh3_64_intdigest(part))
+                        new = (grp, mark) not in seen
+                        seen.add((grp, mark))
+                        out.append((grp, mark, r["v"], r["seg"], r["n"], at, part if new else None))
+                        held += len(part) if new else 50
+                if held > 4 << 20:
+                    yield batch_of(out)
+                    out, held = [], 0
         if out:
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), kinds, strict=True)], names)
+            yield batch_of(out)
 
 
 def _subranges(body: bytes, parts: int, v: int) -> Iterator[tuple[bytes, int, bytes]]:
@@ -271,17 +279,14 @@ def _anchor_place(buf: np.ndarray) -> int:
 
 
 def _sorted_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """v, seg and ranges of repeated window starts of SEGMENT rows that come by group."""
+    """grp, mark and ranges of repeated window starts of rows (grp, mark, n, body) that come by group."""
     held: list[tuple] = []
 
     def judged() -> pa.RecordBatch:
-        counts: dict[bytes, int] = {}
-        for h in held:
-            counts[h[5]] = counts.get(h[5], 0) + h[3]
-        found = dict(zip(counts, repeated_windows(list(counts), np.array(list(counts.values()))), strict=True))
-        rows = [(h[1], h[2], [{"s": int(a) + h[4], "e": int(b) + h[4]} for a, b in zip(*ranges_of(found[h[5]]), strict=True)]) for h in held if len(found[h[5]])]
+        found = repeated_windows([h[3] for h in held], np.array([h[2] for h in held]))
+        rows = [(h[0], h[1], [{"s": int(a), "e": int(b)} for a, b in zip(*ranges_of(x), strict=True)]) for h, x in zip(held, found, strict=True) if len(x)]
         kind = pa.list_(pa.struct([pa.field("s", pa.int32()), pa.field("e", pa.int32())]))
-        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.int64(), kind))], ["v", "seg", "ranges"])
+        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.int64(), kind))], ["grp", "mark", "ranges"])
 
     size = 0
     for batch in batches:
@@ -290,7 +295,7 @@ def _sorted_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
                 yield judged()
                 held, size = [], 0
             held.append(row)
-            size += len(row[5])
+            size += len(row[3])
     if held:
         yield judged()
 
@@ -332,13 +337,15 @@ def window_starts(texts: DataFrame) -> DataFrame:
     each = some.groupBy("v", "seg").agg(F.sum("n").alias("n"), F.min(F.struct("key", "lo", "len")).alias("one"))
     # Only anchors to be dealt out; written, so that both sides of the join are plain shuffles, which adaptive execution can split.
     sizes = written(each.groupBy(F.col("v").alias("_v")).agg(F.sum("one.len").alias("_bytes")).filter(F.col("_bytes") > SPLIT), "suffix-large")
-    parts = F.when(F.col("_bytes").isNull(), SUBRANGES[0]).when(F.col("_bytes") <= SPLIT * SUBRANGES[1] * 4, SUBRANGES[1]).otherwise(SUBRANGES[2])
+    parts = F.when(F.col("_bytes").isNull(), SUBRANGES[0]).when(F.col("_bytes") <= SPLIT * 256, SUBRANGES[1]).otherwise(SUBRANGES[2])
     refs = each.join(sizes, F.col("v") == F.col("_v"), "left").groupBy(F.col("one.key").alias("_key")).agg(F.collect_list(F.struct("v", "seg", "n", F.col("one.lo").alias("lo"), F.col("one.len").alias("len"), parts.alias("parts"))).alias("refs"))
     packed = texts.mapInArrow(_packed, "key binary, packed binary")
-    bodies = packed.join(refs, F.col("key") == F.col("_key")).select("key", "packed", "refs").mapInArrow(_bodies, SEGMENT)
-    judged = bodies.repartition("grp").sortWithinPartitions("grp").mapInArrow(_sorted_groups, "v bigint, seg bigint, ranges array<struct<s:int,e:int>>")
-    judged = written(judged, "suffix-windows").select(F.col("v").alias("_v"), F.col("seg").alias("_s"), "ranges")
-    starts = some.select("v", "seg", "key", "lo").join(judged, (F.col("v") == F.col("_v")) & (F.col("seg") == F.col("_s"))).select("key", "lo", F.explode("ranges").alias("r"))
+    bodies = written(packed.join(refs, F.col("key") == F.col("_key")).select("key", "packed", "refs").mapInArrow(_bodies, SEGMENT), "suffix-bodies")
+    once = bodies.groupBy("grp", "mark").agg(F.sum("n").alias("n"), F.max("body").alias("body"))
+    judged = once.repartition("grp").sortWithinPartitions("grp").mapInArrow(_sorted_groups, "grp bigint, mark bigint, ranges array<struct<s:int,e:int>>")
+    judged = written(judged, "suffix-windows").select(F.col("grp").alias("_g"), F.col("mark").alias("_m"), "ranges")
+    found = bodies.select("grp", "mark", F.col("v").alias("_v"), F.col("seg").alias("_s"), "at").join(judged, (F.col("grp") == F.col("_g")) & (F.col("mark") == F.col("_m"))).select("_v", "_s", "at", "ranges")
+    starts = some.select("v", "seg", "key", "lo").join(written(found, "suffix-found"), (F.col("v") == F.col("_v")) & (F.col("seg") == F.col("_s"))).select("key", (F.col("lo") + F.col("at")).alias("lo"), F.explode("ranges").alias("r"))
     return starts.groupBy("key").agg(F.sort_array(F.collect_list(F.struct((F.col("lo") + F.col("r.s")).alias("s"), (F.col("lo") + F.col("r.e")).alias("e")))).alias("starts"))
 
 

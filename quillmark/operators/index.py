@@ -1,19 +1,23 @@
 """Inverted index and its statistics as plain tables.
 
 postings(term, section_id, tf) with terms of any length, term_stats(term, df) with terms of three characters or more,
-section_stats(section_id, dl) and corpus_stats(n, avg_dl). Term counts combine map-side before they are shuffled by (term, section).
+section_stats(section_id, dl, title, chars, file_path) and corpus_stats(n, avg_dl). Term counts combine map-side before they are shuffled by (term, section).
+
+A written index also holds impacts(term, section_id, impact), each posting's whole BM25 share, so that a query over it joins no statistics; and its
+sections are partitioned by hashed id, so that fetching the contents of a few results reads their partitions alone.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillmark.functions import constants as K
 from quillmark.functions import text as T
 
-TABLES = ("postings", "term_stats", "section_stats", "corpus_stats")
+TABLES = ("postings", "term_stats", "section_stats", "corpus_stats", "impacts")
 
 
 @dataclass
@@ -23,6 +27,9 @@ class Index:
     section_stats: DataFrame
     corpus_stats: DataFrame
     sections: DataFrame
+    impacts: DataFrame | None = None
+    #: Of the written sections, by hashed id.
+    parts: int | None = None
 
 
 def tokenized(sections: DataFrame) -> DataFrame:
@@ -31,27 +38,51 @@ def tokenized(sections: DataFrame) -> DataFrame:
 
 
 def build(sections: DataFrame) -> Index:
-    """The index of sections(section_id, title, content, ...)."""
-    tokens = tokenized(sections)
-    postings = tokens.select("section_id", F.explode("tokens").alias("term")).groupBy("term", "section_id").agg(F.count(F.lit(1)).alias("tf"))
+    """The index of sections(section_id, title, content, file_path, ...), not written yet."""
+    postings = tokenized(sections).select("section_id", F.explode("tokens").alias("term")).groupBy("term", "section_id").agg(F.count(F.lit(1)).alias("tf"))
     term_stats = postings.filter(F.length("term") > 2).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    section_stats = tokens.select("section_id", F.size("tokens").cast("bigint").alias("dl"))
+    size = F.size(T.index_tokens("title", "content")).cast("bigint")
+    section_stats = sections.select("section_id", size.alias("dl"), "title", F.length("content").alias("chars"), F.coalesce("file_path", F.lit("unknown")).alias("file_path"))
     corpus_stats = section_stats.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avg_dl"))
     return Index(postings, term_stats, section_stats, corpus_stats, sections)
 
 
-def write(index: Index, path: str, buckets: int = 64) -> None:
-    """Writes the tables below `path`; postings and term statistics are dealt by hashed term, sorted, so that a query's terms prune row groups."""
-    for name in TABLES:
-        df = getattr(index, name)
-        if name in ("postings", "term_stats"):
-            df = df.repartition(buckets, "term").sortWithinPartitions("term")
+def bm25_share(tf: Column, df: Column, dl: Column, n: Column, avg_dl: Column) -> Column:
+    """What one term adds to a section's score; negative for terms of over half the sections."""
+    idf = F.ln((n - df + 0.5) / (df + 0.5))
+    return idf * (tf * (K.BM25_K1 + 1)) / (tf + K.BM25_K1 * (1 - K.BM25_B + K.BM25_B * dl / avg_dl))
+
+
+def impacts(index: Index) -> DataFrame:
+    one = index.corpus_stats.select(F.col("n").alias("_n"), F.col("avg_dl").alias("_avg"))
+    joined = index.postings.join(index.term_stats, "term").join(index.section_stats.select("section_id", "dl"), "section_id").join(F.broadcast(one))  # one row
+    return joined.select("term", "section_id", bm25_share(F.col("tf"), F.col("df"), F.col("dl"), F.col("_n"), F.col("_avg")).alias("impact"))
+
+
+def section_part(parts: int) -> Column:
+    return F.pmod(F.hash("section_id"), F.lit(parts))
+
+
+def write(index: Index, path: str, buckets: int = 64, parts: int = 16) -> None:
+    """Writes the tables below `path`; those by term are dealt by hashed term, sorted, so that a query's terms prune row groups. Statistics come from the written postings."""
+    spark, stored = index.postings.sparkSession, lambda name: spark.read.parquet(f"{path}/{name}")
+
+    def put(name: str, df: DataFrame) -> DataFrame:
         df.write.mode("overwrite").parquet(f"{path}/{name}")
-    index.sections.write.mode("overwrite").parquet(f"{path}/sections")
+        return stored(name)
+
+    by_term = lambda df: df.repartition(buckets, "term").sortWithinPartitions("term")
+    postings = put("postings", by_term(index.postings))
+    terms = put("term_stats", postings.filter(F.length("term") > 2).groupBy("term").agg(F.count(F.lit(1)).alias("df")).sortWithinPartitions("term"))
+    lengths = put("section_stats", index.section_stats)
+    totals = put("corpus_stats", lengths.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avg_dl"), F.lit(parts).alias("parts")))
+    put("impacts", by_term(impacts(Index(postings, terms, lengths, totals, index.sections))))
+    index.sections.withColumn("part", section_part(parts)).repartition("part").write.mode("overwrite").partitionBy("part").parquet(f"{path}/sections")
 
 
 def load(spark: SparkSession, path: str) -> Index:
-    return Index(*(spark.read.parquet(f"{path}/{name}") for name in TABLES), spark.read.parquet(f"{path}/sections"))
+    tables = {name: spark.read.parquet(f"{path}/{name}") for name in (*TABLES, "sections")}
+    return Index(**tables, parts=tables["corpus_stats"].first()["parts"])
 
 
 def section_metadata(sections: DataFrame) -> DataFrame:
@@ -70,8 +101,6 @@ def top_keywords(texts: DataFrame, key: str = "section_id", text: str = "content
     """key and the array of its most frequent keywords, ties by first occurrence; every key has a row."""
     from pyspark.sql import Window
 
-    from quillmark.functions import constants as K
-
     tokens = texts.select(key, F.posexplode(T.words(text)).alias("at", "word")).filter(F.col("word").rlike("^[a-z]{3,}$") & ~F.col("word").isin(K.KEYWORD_STOP_WORDS))
     counts = tokens.groupBy(key, "word").agg(F.count(F.lit(1)).alias("n"), F.min("at").alias("at"))
     ranked = counts.withColumn("rank", F.row_number().over(Window.partitionBy(key).orderBy(F.desc("n"), "at"))).filter(F.col("rank") <= most)

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from quillmark.functions import constants as K
 from quillmark.functions import text as T
-from quillmark.operators.index import Index
+from quillmark.operators.index import Index, bm25_share, section_part
 
 #: Queries of a batch that go to a task at once.
 QUERY_BLOCK = 1024
@@ -34,42 +34,54 @@ def basic_terms_of(query: str) -> list[str]:
     return [w for w in re.findall(r"\w+", query.lower()) if len(w) > 2 and w not in K.BASIC_STOP_WORDS]
 
 
-def _term_score(tf: Column, df: Column, dl: Column, n: Column, avg_dl: Column) -> Column:
-    idf = F.ln((n - df + 0.5) / (df + 0.5))
-    return idf * (tf * (K.BM25_K1 + 1)) / (tf + K.BM25_K1 * (1 - K.BM25_B + K.BM25_B * dl / avg_dl))
-
-
-def _scored(index: Index, hits: DataFrame, keys: list[str]) -> DataFrame:
-    """Sums of term scores of hits(keys..., term, section_id, tf, times) by keys and section; above zero only."""
-    one = index.corpus_stats.select(F.col("n").alias("_n"), F.col("avg_dl").alias("_avg"))
-    joined = hits.join(index.term_stats, "term").join(index.section_stats, "section_id").join(F.broadcast(one))  # one row
-    score = F.sum(F.col("times") * _term_score(F.col("tf"), F.col("df"), F.col("dl"), F.col("_n"), F.col("_avg")))
-    return joined.groupBy(*keys, "section_id").agg(score.alias("score")).filter("score > 0")
+def _scored(index: Index, terms: DataFrame | None, keys: list[str], only: list[str] | None = None, times: Column | None = None) -> DataFrame:
+    """Sums of shares by keys and section, above zero only: of terms(keys..., term, times), or of the terms `only`, whose filter reaches the scan."""
+    if index.impacts is not None:
+        shares = index.impacts
+    else:
+        one = index.corpus_stats.select(F.col("n").alias("_n"), F.col("avg_dl").alias("_avg"))
+        hits = index.postings if only is None else index.postings.filter(F.col("term").isin(only))
+        joined = hits.join(index.term_stats, "term").join(index.section_stats.select("section_id", "dl"), "section_id").join(F.broadcast(one))  # one row
+        shares = joined.select("term", "section_id", bm25_share(F.col("tf"), F.col("df"), F.col("dl"), F.col("_n"), F.col("_avg")).alias("impact"))
+    rows = shares.filter(F.col("term").isin(only)).withColumn("times", times) if terms is None else shares.join(terms, "term")
+    return rows.groupBy(*keys, "section_id").agg(F.sum(F.col("times") * F.col("impact")).alias("score")).filter("score > 0")
 
 
 def bm25(index: Index, terms: list[str]) -> DataFrame:
-    """section_id and score for the terms of one query; a repeated term counts as often. The terms reach the postings' scan as a filter."""
+    """section_id and score for the terms of one query; a repeated term counts as often."""
     times = {t: terms.count(t) for t in dict.fromkeys(terms)}
-    weight = F.create_map(*(F.lit(x) for pair in times.items() for x in pair)) if times else None
-    hits = index.postings.filter(F.col("term").isin(list(times)))
-    hits = hits.withColumn("times", weight[F.col("term")] if weight is not None else F.lit(0))
-    return _scored(index, hits, [])
+    weight = F.create_map(*(F.lit(x) for pair in times.items() for x in pair))[F.col("term")] if times else F.lit(0)
+    return _scored(index, None, [], list(times), weight)
 
 
 def bm25_batch(index: Index, queries: DataFrame) -> DataFrame:
     """query_id, section_id and score of queries(query_id, terms); the size of either side decides the join."""
     terms = queries.select("query_id", F.explode("terms").alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("times"))
-    return _scored(index, index.postings.join(terms, "term"), ["query_id"])
+    return _scored(index, terms, ["query_id"])
 
 
 def best(scored: DataFrame, most: int) -> DataFrame:
     return scored.orderBy(F.desc(F.round("score", 6)), "section_id").limit(most)
 
 
+HEAD = ["title", "chars", "file_path"]
+
+
+def _with_heads(index: Index, scored: DataFrame, match_type: str) -> DataFrame:
+    return scored.join(index.section_stats.select("section_id", *HEAD), "section_id").withColumn("match_type", F.lit(match_type))
+
+
 def keyword_search(index: Index, terms: list[str]) -> DataFrame:
-    """Sections that score, with content: section_id, title, content, file_path, score, match_type."""
-    content = index.sections.select("section_id", "title", "content", F.coalesce("file_path", F.lit("unknown")).alias("file_path"))
-    return bm25(index, terms).join(content, "section_id").withColumn("match_type", F.lit("keyword"))
+    """Sections that score: section_id, score, title, chars, file_path, match_type. Contents are fetched for the results alone."""
+    return _with_heads(index, bm25(index, terms), "keyword")
+
+
+def with_content(index: Index, top: DataFrame) -> DataFrame:
+    """A limited number of results with their contents: the results are what is broadcast, and where sections are partitioned by hashed id, theirs alone are read."""
+    if index.parts is None:
+        return F.broadcast(top).join(index.sections.select("section_id", "content"), "section_id")
+    own = top.withColumn("part", section_part(index.parts))
+    return F.broadcast(own).join(index.sections.select("part", "section_id", "content"), ["part", "section_id"]).drop("part")
 
 
 def _similarities(queries: np.ndarray, ids: list, threshold: float):
@@ -108,20 +120,18 @@ def similar(vectors: DataFrame, queries: list[tuple[str, list[float]]], threshol
 
 def semantic_search(index: Index, vectors: DataFrame, vector: list[float], threshold: float = K.SEMANTIC_THRESHOLD) -> DataFrame:
     """As keyword_search, by the best vector of each section."""
-    content = index.sections.select("section_id", "title", "content", F.coalesce("file_path", F.lit("unknown")).alias("file_path"))
-    best_of = similar(vectors, [("", vector)], threshold).groupBy("section_id").agg(F.max("score").alias("score"))
-    return best_of.join(content, "section_id").withColumn("match_type", F.lit("semantic"))
+    return _with_heads(index, similar(vectors, [("", vector)], threshold).groupBy("section_id").agg(F.max("score").alias("score")), "semantic")
 
 
 def merged(keyword: DataFrame, semantic: DataFrame) -> DataFrame:
     """Full outer merge: keyword scores doubled, averaged with the semantic score where both have the section."""
-    k = keyword.select("section_id", F.col("title").alias("kt"), F.col("content").alias("kc"), F.col("file_path").alias("kf"), (F.col("score") * K.KEYWORD_BOOST).alias("ks"))
-    s = semantic.select("section_id", F.col("title").alias("st"), F.col("content").alias("sc"), F.col("file_path").alias("sf"), F.col("score").alias("ss"))
-    both = F.col("ks").isNotNull() & F.col("ss").isNotNull()
+    side = lambda df, name: df.select("section_id", *(F.col(c).alias(f"{name}_{c}") for c in [*HEAD, "score"]))
+    k, s = side(keyword, "k").withColumn("k_score", F.col("k_score") * K.KEYWORD_BOOST), side(semantic, "s")
+    both = F.col("k_score").isNotNull() & F.col("s_score").isNotNull()
     return k.join(s, "section_id", "full_outer").select(
-        "section_id", F.coalesce("kt", "st").alias("title"), F.coalesce("kc", "sc").alias("content"), F.coalesce("kf", "sf").alias("file_path"),
-        F.when(both, (F.col("ks") + F.col("ss")) / 2).otherwise(F.coalesce("ks", "ss")).alias("score"),
-        F.when(both, "hybrid").when(F.col("ks").isNotNull(), "keyword").otherwise("semantic").alias("match_type"),
+        "section_id", *(F.coalesce(f"k_{c}", f"s_{c}").alias(c) for c in HEAD),
+        F.when(both, (F.col("k_score") + F.col("s_score")) / 2).otherwise(F.coalesce("k_score", "s_score")).alias("score"),
+        F.when(both, "hybrid").when(F.col("k_score").isNotNull(), "keyword").otherwise("semantic").alias("match_type"),
     )
 
 
@@ -131,29 +141,33 @@ def boosted(rows: DataFrame, terms: list[str]) -> DataFrame:
     named = F.lit(False)
     for t in dict.fromkeys(terms):
         named = named | title.contains(t)
-    factor = F.when(named, K.TITLE_BOOST).otherwise(1.0) * F.when(F.length("content") < K.SHORT_CHARS, K.SHORT_BOOST).otherwise(1.0)
+    factor = F.when(named, K.TITLE_BOOST).otherwise(1.0) * F.when(F.col("chars") < K.SHORT_CHARS, K.SHORT_BOOST).otherwise(1.0)
     return rows.withColumn("score", F.col("score") * factor)
 
 
-def hybrid_search(index: Index, query: str, vectors: DataFrame | None = None, vector: list[float] | None = None, most: int = K.MAX_RESULTS) -> DataFrame:
-    """The whole query: terms, synonyms, both legs, merge, boosts, top results. A query without terms finds nothing."""
+RESULT = ["section_id", "title", "content", "file_path", "score", "match_type"]
+
+
+def hybrid_search(index: Index, query: str, vectors: DataFrame | None = None, vector: list[float] | None = None, most: int = K.MAX_RESULTS, threshold: float = K.SEMANTIC_THRESHOLD) -> DataFrame:
+    """The whole query: terms, synonyms, both legs, merge, boosts, top results, their contents. A query without terms finds nothing."""
     terms = terms_of(query)
     keyword = keyword_search(index, expand(terms))
-    rows = keyword.withColumn("score", F.col("score") * K.KEYWORD_BOOST) if vectors is None or vector is None else merged(keyword, semantic_search(index, vectors, vector))
+    if vectors is None or vector is None:
+        rows = keyword.withColumn("score", F.col("score") * K.KEYWORD_BOOST)
+    else:
+        rows = merged(keyword, semantic_search(index, vectors, vector, threshold))
     if not terms:
         rows = rows.filter(F.lit(False))
-    return best(boosted(rows.select("section_id", "title", "content", "file_path", "score", "match_type"), terms), most)
+    return with_content(index, best(boosted(rows, terms), most)).select(*RESULT)
 
 
 def search(index: Index, query: str, mode: str = "hybrid", vectors: DataFrame | None = None, vector: list[float] | None = None, most: int = K.MAX_RESULTS) -> DataFrame:
     """keyword: no synonyms and no boosts; semantic: the dense leg alone; hybrid: all."""
-    columns = ["section_id", "title", "content", "file_path", "score", "match_type"]
     if mode == "keyword":
-        return best(keyword_search(index, terms_of(query)).select(*columns), most)
+        return with_content(index, best(keyword_search(index, terms_of(query)), most)).select(*RESULT)
     if mode == "semantic":
-        if vectors is None or vector is None:
-            return keyword_search(index, []).select(*columns).limit(0)
-        return best(semantic_search(index, vectors, vector).select(*columns), most)
+        rows = keyword_search(index, []) if vectors is None or vector is None else semantic_search(index, vectors, vector)
+        return with_content(index, best(rows, most)).select(*RESULT)
     return hybrid_search(index, query, vectors, vector, most)
 
 

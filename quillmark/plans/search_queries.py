@@ -32,7 +32,7 @@ def document_frequency(spark, d):
 
 @query("section_lengths", f"WITH {C.INDEX} SELECT section_id, dl FROM section_stats")
 def section_lengths(spark, d):
-    return index.build(C.sections(spark, d)).section_stats
+    return index.build(C.sections(spark, d)).section_stats.select("section_id", "dl")
 
 
 @query("corpus_stats", f"WITH {C.INDEX} SELECT n, round(avg_dl, 6) AS avg_dl FROM corpus_stats")
@@ -190,13 +190,13 @@ def legs(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
 
 def hybrid(spark: SparkSession, d: str) -> DataFrame:
     """Ranked results of the whole hybrid query, at a similarity threshold that some vectors pass."""
-    rows = search.boosted(search.merged(*legs(spark, d)), search.terms_of(QUERY))
-    return context.ranked(search.best(rows, K.MAX_RESULTS))
+    built = index.build(C.sections(spark, d))
+    return context.ranked(search.hybrid_search(built, QUERY, C.vectors(spark, d), query_vectors(spark, d, 1)[0][1], threshold=LEAST))
 
 
 @query("hybrid_merge", f"WITH {LEGS} SELECT section_id, title, file_path, match_type, round(merged.score, 6) AS score FROM merged JOIN sections USING (section_id)")
 def hybrid_merge(spark, d):
-    return scores(search.merged(*legs(spark, d))).drop("content")
+    return scores(search.merged(*legs(spark, d))).drop("chars")
 
 
 @query("hybrid_search", f"WITH {LEGS} SELECT section_id, title, content, file_path, match_type, round(score, 6) AS score, rank FROM ranked WHERE rank <= 50")

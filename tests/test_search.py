@@ -44,7 +44,12 @@ def test_batch_equals_single_queries(spark, built):
 def test_index_round_trip(spark, built, tmp_path):
     index.write(built, f"{tmp_path}/i", 4)
     again = index.load(spark, f"{tmp_path}/i")
-    assert sorted(map(repr, search.keyword_search(again, ["beta", "gamma"]).collect())) == sorted(map(repr, search.keyword_search(built, ["beta", "gamma"]).collect()))
+    plan = search.search(again, "beta gamma", "keyword")
+    assert sorted(map(repr, plan.collect())) == sorted(map(repr, search.search(built, "beta gamma", "keyword").collect())) and plan.count() == 2
+    text = plan._jdf.queryExecution().toString()
+    assert "dynamicpruning" in text and "PushedFilters: [In(term" in text and "postings" not in text
+    both = [sorted((r.section_id, round(r.score, 9)) for r in search.bm25(i, ["beta", "gamma", "beta"]).collect()) for i in (again, built)]
+    assert both[0] == both[1]
 
 
 def test_similarity_blocks_and_odd_vectors(spark, monkeypatch):
@@ -58,10 +63,10 @@ def test_similarity_blocks_and_odd_vectors(spark, monkeypatch):
 
 
 def test_merge_and_boosts(spark):
-    kind = SECTION + ", score double, match_type string"
-    row = lambda i, s, m, content="c" * 600: (i, "Title", content, "f", s, m)
+    kind = "section_id string, title string, chars int, file_path string, score double, match_type string"
+    row = lambda i, s, m, chars=600: (i, "Title", chars, "f", s, m)
     keyword = spark.createDataFrame([row("both", 1.0, "keyword"), row("kw", 2.0, "keyword")], kind)
-    semantic = spark.createDataFrame([row("both", 0.5, "semantic"), row("sem", 0.4, "semantic", "short")], kind)
+    semantic = spark.createDataFrame([row("both", 0.5, "semantic"), row("sem", 0.4, "semantic", 5)], kind)
     rows = {r.section_id: r for r in search.merged(keyword, semantic).collect()}
     assert {k: (r.score, r.match_type) for k, r in rows.items()} == {"both": (1.25, "hybrid"), "kw": (4.0, "keyword"), "sem": (0.4, "semantic")}
     up = {r.section_id: r.score for r in search.boosted(search.merged(keyword, semantic), ["title"]).collect()}

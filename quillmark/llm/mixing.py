@@ -153,7 +153,8 @@ def mixed(docs: DataFrame, mix: Mix = Mix()) -> tuple[DataFrame, DataFrame]:
     last = F.col("_from") + F.col("size") - 1
     spread = ranked.filter("size > 0").select("rank", "_k1", "_k2", "doc_id", "_from", "size", F.explode(F.sequence(F.floor(F.col("_from") / mix.block), F.floor(last / mix.block))).alias("block"))
     start = F.greatest(F.col("_from"), F.col("block") * mix.block)
-    pieces = spread.join(taken, ["rank", "block"]).select(
+    # Sizes of tables that Python makes are guessed from what it reads, here a few rows for each shard: by merge, never broadcast.
+    pieces = spread.join(taken.hint("merge"), ["rank", "block"]).select(
         "rank", "block", "doc_id", "_from", "times", (start - F.col("_from")).alias("first_word"), (F.least(F.col("_from") + F.col("size"), (F.col("block") + 1) * mix.block) - start).alias("words")
     )
     return ranked, pieces
@@ -164,7 +165,7 @@ def takes(docs: DataFrame, mix: Mix = Mix()) -> DataFrame:
     ranked, pieces = mixed(docs, mix)
     sums = pieces.groupBy(F.col("rank").alias("_r"), F.col("_from").alias("_f")).agg(F.sum(F.col("times") * F.col("words")).alias("_taken"))
     here = (F.col("rank") == F.col("_r")) & (F.col("_from") == F.col("_f")) & (F.col("size") > 0)
-    return ranked.join(sums, here, "left").select("doc_id", "size", "source_size", "target", F.coalesce("_taken", F.lit(0)).cast("long").alias("taken"))
+    return ranked.join(sums.hint("merge"), here, "left").select("doc_id", "size", "source_size", "target", F.coalesce("_taken", F.lit(0)).cast("long").alias("taken"))
 
 
 def output_blocks(docs: DataFrame, mix: Mix = Mix()) -> DataFrame:
@@ -177,7 +178,7 @@ def output_blocks(docs: DataFrame, mix: Mix = Mix()) -> DataFrame:
     keyed = ranked.select("rank", "_from", "_k1", "_k2").join(texts, ["_k1", "_k2"])
     here = pieces.join(keyed, ["rank", "_from"]).select("rank", "block", "_from", F.array_join(F.slice("_words", F.col("first_word").cast("int") + 1, F.col("words").cast("int")), " ").alias("piece"))
     whole = here.groupBy("rank", "block").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_from", "piece"))), lambda x: x["piece"]), " ").alias("text"))
-    return plan.join(whole, ["rank", "block"]).select("shard", "rank", "pass", F.col("j").alias("slot"), "block", "text")
+    return plan.join(whole.hint("merge"), ["rank", "block"]).select("shard", "rank", "pass", F.col("j").alias("slot"), "block", "text")
 
 
 def op1_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -39,7 +39,7 @@ ROWS, BANDS = 4, 20
 SAMPLES = ROWS * BANDS
 NEAR = 0.62
 BUCKET = 2048
-GROUP, GROUP_BYTES = 4096, 32 << 20
+GROUP, GROUP_BYTES = 1024, 16 << 20
 WORD_BITS = 18
 WORDS = 1 << WORD_BITS
 SLICES = 16

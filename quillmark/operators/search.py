@@ -65,6 +65,7 @@ def best(scored: DataFrame, most: int) -> DataFrame:
 
 
 HEAD = ["title", "chars", "file_path"]
+RESULT = ["section_id", "title", "content", "file_path", "score", "match_type"]
 
 
 def _with_heads(index: Index, scored: DataFrame, match_type: str) -> DataFrame:
@@ -77,11 +78,13 @@ def keyword_search(index: Index, terms: list[str]) -> DataFrame:
 
 
 def with_content(index: Index, top: DataFrame) -> DataFrame:
-    """A limited number of results with their contents: the results are what is broadcast, and where sections are partitioned by hashed id, theirs alone are read."""
+    """A limited number of results as RESULT rows: the results are what is broadcast, and where sections are partitioned by hashed id, theirs alone are read."""
+    text = ["title", "content", F.coalesce("file_path", F.lit("unknown")).alias("file_path")]
+    own = top.select("section_id", "score", "match_type")
     if index.parts is None:
-        return F.broadcast(top).join(index.sections.select("section_id", "content"), "section_id")
-    own = top.withColumn("part", section_part(index.parts))
-    return F.broadcast(own).join(index.sections.select("part", "section_id", "content"), ["part", "section_id"]).drop("part")
+        return F.broadcast(own).join(index.sections.select("section_id", *text), "section_id").select(*RESULT)
+    own = own.withColumn("part", section_part(index.parts))
+    return F.broadcast(own).join(index.sections.select("part", "section_id", *text), ["part", "section_id"]).select(*RESULT)
 
 
 def _similarities(queries: np.ndarray, ids: list, threshold: float):
@@ -145,9 +148,6 @@ def boosted(rows: DataFrame, terms: list[str]) -> DataFrame:
     return rows.withColumn("score", F.col("score") * factor)
 
 
-RESULT = ["section_id", "title", "content", "file_path", "score", "match_type"]
-
-
 def hybrid_search(index: Index, query: str, vectors: DataFrame | None = None, vector: list[float] | None = None, most: int = K.MAX_RESULTS, threshold: float = K.SEMANTIC_THRESHOLD) -> DataFrame:
     """The whole query: terms, synonyms, both legs, merge, boosts, top results, their contents. A query without terms finds nothing."""
     terms = terms_of(query)
@@ -158,16 +158,17 @@ def hybrid_search(index: Index, query: str, vectors: DataFrame | None = None, ve
         rows = merged(keyword, semantic_search(index, vectors, vector, threshold))
     if not terms:
         rows = rows.filter(F.lit(False))
-    return with_content(index, best(boosted(rows, terms), most)).select(*RESULT)
+    return with_content(index, best(boosted(rows, terms), most))
 
 
 def search(index: Index, query: str, mode: str = "hybrid", vectors: DataFrame | None = None, vector: list[float] | None = None, most: int = K.MAX_RESULTS) -> DataFrame:
     """keyword: no synonyms and no boosts; semantic: the dense leg alone; hybrid: all."""
     if mode == "keyword":
-        return with_content(index, best(keyword_search(index, terms_of(query)), most)).select(*RESULT)
+        # Nothing but the score ranks here, so no other column is needed before the results are known.
+        return with_content(index, best(bm25(index, terms_of(query)), most).withColumn("match_type", F.lit("keyword")))
     if mode == "semantic":
         rows = keyword_search(index, []) if vectors is None or vector is None else semantic_search(index, vectors, vector)
-        return with_content(index, best(rows, most)).select(*RESULT)
+        return with_content(index, best(rows, most))
     return hybrid_search(index, query, vectors, vector, most)
 
 

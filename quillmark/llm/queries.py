@@ -16,6 +16,7 @@ QUERIES = {
 }
 ORACLE = {
     "op2_line_dedup": line_dedup.ORACLE,
+    "op3_suffix_dedup": suffix_dedup.ORACLE,
     "op4_benchmark_decontamination": decontaminate.ORACLE,
     "op6_warc_archives": warc.ORACLE,
     "op7_quality_rules": quality.ORACLE,

@@ -366,3 +366,18 @@ def repeats(docs: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
 
 def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats(documents(spark, sf_dir), ["doc_id"]).drop("removed")
+
+
+ORACLE = r"""
+WITH d AS (SELECT row_number() OVER () AS k, doc_id, hex(encode(coalesce(text, ''))) AS x, octet_length(encode(coalesce(text, '')))::BIGINT AS n FROM documents),
+w AS (SELECT k, p, md5(substr(x, 2 * p + 1, 800)) AS m FROM (SELECT k, x, unnest(range(0, n - 399)) AS p FROM d WHERE n >= 400)),
+r AS (SELECT k, p FROM w JOIN (SELECT m FROM w GROUP BY m HAVING count(*) > 1) USING (m)),
+i AS (SELECT k, p, sum(new) OVER (PARTITION BY k ORDER BY p) AS island FROM (SELECT k, p, CASE WHEN p <= lag(p) OVER (PARTITION BY k ORDER BY p) + 400 THEN 0 ELSE 1 END AS new FROM r)),
+s AS (SELECT k, min(p) AS a, max(p) + 400 AS b FROM i GROUP BY k, island),
+g AS (SELECT k, a, b, lag(b, 1, 0) OVER (PARTITION BY k ORDER BY a) AS before FROM s),
+t AS (SELECT k, count(*) AS spans, sum(b - a) AS removed, max(b) AS last FROM g GROUP BY k),
+h AS (SELECT k, string_agg(substr(x, 2 * before + 1, 2 * (a - before)), '' ORDER BY a) AS pieces FROM g JOIN d USING (k) GROUP BY k)
+SELECT doc_id, n AS n_bytes, coalesce(removed, 0)::BIGINT AS n_removed, coalesce(spans, 0)::BIGINT AS n_spans,
+    sha256(unhex(coalesce(pieces, '') || substr(x, 2 * coalesce(last, 0) + 1))) AS kept_sha256
+FROM d LEFT JOIN t USING (k) LEFT JOIN h USING (k)
+"""

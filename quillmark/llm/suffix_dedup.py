@@ -216,6 +216,13 @@ def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(batch.num_columns - 1)), made], [*batch.schema.names[:-1], "packed"])
 
 
+def _packed_once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """As _packed, one row for each key of a task."""
+    seen: set[bytes] = set()
+    for batch in _packed(b.filter(pa.array([not (k in seen or seen.add(k)) for k in b.column(0).to_pylist()], pa.bool_())) for b in batches):
+        yield batch
+
+
 SEGMENT = "grp bigint, mark bigint, v bigint, seg bigint, n bigint, at int, body binary"
 
 
@@ -339,14 +346,15 @@ def window_starts(texts: DataFrame) -> DataFrame:
     sizes = written(each.groupBy(F.col("v").alias("_v")).agg(F.sum("one.len").alias("_bytes")).filter(F.col("_bytes") > SPLIT), "suffix-large")
     parts = F.when(F.col("_bytes").isNull(), SUBRANGES[0]).when(F.col("_bytes") <= SPLIT * 256, SUBRANGES[1]).otherwise(SUBRANGES[2])
     refs = each.join(sizes, F.col("v") == F.col("_v"), "left").groupBy(F.col("one.key").alias("_key")).agg(F.collect_list(F.struct("v", "seg", "n", F.col("one.lo").alias("lo"), F.col("one.len").alias("len"), parts.alias("parts"))).alias("refs"))
-    packed = texts.mapInArrow(_packed, "key binary, packed binary")
+    packed = texts.mapInArrow(_packed_once, "key binary, packed binary")
     bodies = written(packed.join(refs, F.col("key") == F.col("_key")).select("key", "packed", "refs").mapInArrow(_bodies, SEGMENT), "suffix-bodies")
     once = bodies.groupBy("grp", "mark").agg(F.sum("n").alias("n"), F.max("body").alias("body"))
     judged = once.repartition("grp").sortWithinPartitions("grp").mapInArrow(_sorted_groups, "grp bigint, mark bigint, ranges array<struct<s:int,e:int>>")
     judged = written(judged, "suffix-windows").select(F.col("grp").alias("_g"), F.col("mark").alias("_m"), "ranges")
     found = bodies.select("grp", "mark", F.col("v").alias("_v"), F.col("seg").alias("_s"), "at").join(judged, (F.col("grp") == F.col("_g")) & (F.col("mark") == F.col("_m"))).select("_v", "_s", "at", "ranges")
     starts = some.select("v", "seg", "key", "lo").join(written(found, "suffix-found"), (F.col("v") == F.col("_v")) & (F.col("seg") == F.col("_s"))).select("key", (F.col("lo") + F.col("at")).alias("lo"), F.explode("ranges").alias("r"))
-    return starts.groupBy("key").agg(F.sort_array(F.collect_list(F.struct((F.col("lo") + F.col("r.s")).alias("s"), (F.col("lo") + F.col("r.e")).alias("e")))).alias("starts"))
+    starts = starts.groupBy("key").agg(F.sort_array(F.collect_list(F.struct((F.col("lo") + F.col("r.s")).alias("s"), (F.col("lo") + F.col("r.e")).alias("e")))).alias("starts"))
+    return written(starts, "suffix-starts")  # a plain shuffle on both sides of the join that follows, which adaptive execution can split
 
 
 def repeats(docs: DataFrame, keep: list[str], text: str = "text") -> DataFrame:

@@ -49,6 +49,16 @@ def unused(df: DataFrame, name: str) -> str:
     return name
 
 
+def boxed(df: DataFrame, keep: list[str], **more: str) -> DataFrame:
+    """The kept columns as one struct column _box, away from an operator's own names, and further columns under given names. `_box.*` opens it."""
+    box = F.struct(*(F.col(f"`{c}`") for c in keep)) if keep else F.struct(F.lit(None).cast("int").alias("_none"))
+    return df.select(box.alias("_box"), *(F.col(f"`{c}`").alias(name) for name, c in more.items()))
+
+
+def opened(df: DataFrame, keep: list[str], *more) -> DataFrame:
+    return df.select(*(F.col(f"_box.`{c}`").alias(c) for c in keep), *more)
+
+
 def add_struct(df: DataFrame, keep: list[str], name: str, kind: str, make, text: str = "text", limit: int | None = None) -> DataFrame:
     """Columns `keep` and a struct column `name` of type `kind`, which `make(rows, buf, offs)` fills block by block.
 

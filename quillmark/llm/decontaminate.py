@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillmark.llm import _blocks as B
-from quillmark.llm._tables import add_struct, documents, row_key, unused
+from quillmark.llm._tables import add_struct, boxed, documents, opened, row_key, unused
 
 WINDOW = 10
 MAX_SET_BYTES = 16 << 20
@@ -104,23 +104,22 @@ def scan(docs: DataFrame, items: DataFrame, keep: list[str], text: str = "text",
     """Columns `keep` of every document and a struct `into`: its words, the indexes of its hit words, the items, and the hit spans in code points."""
     spark, blocks = docs.sparkSession, window_sets(items, item_id, item_text, window, max_bytes)
 
-    def against(rows: DataFrame, columns: list[str], windows: WindowSet) -> DataFrame:
+    def against(rows: DataFrame, columns: list[str], windows: WindowSet, name: str, body: str) -> DataFrame:
         shared = spark.sparkContext.broadcast(windows)
-        return add_struct(rows, columns, into, KIND, lambda _, buf, offs: _scan(buf, offs, shared.value), text)
+        return add_struct(rows, columns, name, KIND, lambda _, buf, offs: _scan(buf, offs, shared.value), body)
 
     if len(blocks) == 1:
-        return against(docs, keep, blocks[0])
-    keyed = docs.select(*(F.col(f"`{c}`") for c in dict.fromkeys([*keep, text])), *row_key(text))
-    keys = [F.col("_k1"), F.col("_k2")]
-    once = against(keyed, [*keep, "_k1", "_k2"], WindowSet([], []))
-    some = [against(keyed, ["_k1", "_k2"], w).filter(F.size(f"{into}.hit_words") > 0).dropDuplicates(["_k1", "_k2"]) for w in blocks]
+        return against(docs, keep, blocks[0], into, text)
+    keyed = boxed(docs, keep, text=text).select("_box", "text", *row_key("text"))
+    once = against(keyed, ["_box", "_k1", "_k2"], WindowSet([], []), "_own", "text")
+    some = [against(keyed, ["_k1", "_k2"], w, "_own", "text").filter(F.size("_own.hit_words") > 0).dropDuplicates(["_k1", "_k2"]) for w in blocks]
     united = some[0]
     for more in some[1:]:
         united = united.unionByName(more)
-    flat = lambda c: F.array_sort(F.array_distinct(F.flatten(F.collect_list(f"{into}.{c}"))))
-    united = united.groupBy(*keys).agg(flat("hit_words").alias("_h"), flat("items").alias("_i"), flat("spans").alias("_s"))
-    kept = F.struct(F.col(f"{into}.n_words").alias("n_words"), F.coalesce("_h", f"{into}.hit_words").alias("hit_words"), F.coalesce("_i", f"{into}.items").alias("items"), F.coalesce("_s", f"{into}.spans").alias("spans"))
-    return once.join(united, ["_k1", "_k2"], "left").withColumn(into, kept).select(*keep, into)
+    flat = lambda c: F.array_sort(F.array_distinct(F.flatten(F.collect_list(f"_own.{c}"))))
+    united = united.groupBy("_k1", "_k2").agg(flat("hit_words").alias("_h"), flat("items").alias("_i"), flat("spans").alias("_s"))
+    kept = F.struct(F.col("_own.n_words").alias("n_words"), F.coalesce("_h", "_own.hit_words").alias("hit_words"), F.coalesce("_i", "_own.items").alias("items"), F.coalesce("_s", "_own.spans").alias("spans"))
+    return opened(once.join(united, ["_k1", "_k2"], "left"), keep, kept.alias(into))
 
 
 def without_documents(docs: DataFrame, items: DataFrame, text: str = "text") -> DataFrame:

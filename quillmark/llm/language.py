@@ -183,8 +183,9 @@ def predict(docs: DataFrame, model: Model, keep: list[str], text: str = "text")
         close = (ranked[:, 1] - ranked[:, 0]) < AMBIGUOUS * ranked[:, 1]
         return [pa.array([m.languages[b] if k else UNKNOWN for b, k in zip(best, known, strict=True)], pa.string()), np.where(known, odds.max(1) / odds.sum(1), 0.0), known & close]
 
-    made = add_struct(rows, [*keep, letter], "_made", kind, decode, text)
-    return made.select(*(F.col(f"`{c}`") for c in keep), F.col("_made.lang").alias("lang_pred"), F.col("_made.score").alias("score"), F.col("_made.ambiguous").alias("ambiguous"))
+    own = unused(rows, "_made")
+    made = add_struct(rows, [*keep, letter], own, kind, decode, text)
+    return made.select(*(F.col(f"`{c}`") for c in keep), F.col(f"{own}.lang").alias("lang_pred"), F.col(f"{own}.score").alias("score"), F.col(f"{own}.ambiguous").alias("ambiguous"))
 
 
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

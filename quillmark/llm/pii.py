@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmark.llm._tables import add_struct, documents, unused, written
+from quillmark.llm._tables import add_struct, boxed, documents, opened, unused, written
 
 KINDS = ("email", "ip", "card", "phone")
 LEAST_SEEDS = 4
@@ -150,18 +150,16 @@ def _promoted(edges: DataFrame) -> DataFrame | None:
 
 def find(docs: DataFrame, keep: list[str], text: str = "text", into: str = "pii") -> DataFrame:
     """Columns `keep` and a struct `into` of every row: `spans` by the base rules and `added` by context, both by start and kind, in code points."""
-    row = unused(docs, "_row")
-    base = written(add_struct(docs, keep, into, f"{BASE}, {GRAPH}", _found, text).withColumn(row, F.monotonically_increasing_id()), "pii-base")
-    each = base.filter(F.size(f"{into}.cands") > 0).select(F.col(row).alias("_row"), F.explode(f"{into}.cands").alias("c"))
+    base = written(add_struct(boxed(docs, keep, text=text), ["_box"], "_pii", f"{BASE}, {GRAPH}", _found).withColumn("_row", F.monotonically_increasing_id()), "pii-base")
+    each = base.filter(F.size("_pii.cands") > 0).select("_row", F.explode("_pii.cands").alias("c"))
     edges = each.select("_row", "c.kind", "c.start", "c.end", "c.fits", "c.value", F.explode("c.patterns").alias("pattern"))
     promoted = _promoted(written(edges, "pii-edges"))
-    span = "array<struct<kind:string,start:int,end:int>>"
-    kept = [F.col(f"`{c}`") for c in keep]
+    none, spans = F.array().cast("array<struct<kind:string,start:int,end:int>>"), F.col("_pii.spans").alias("spans")
     if promoted is None:
-        return base.select(*kept, F.struct(F.col(f"{into}.spans").alias("spans"), F.array().cast(span).alias("added")).alias(into))
-    lists = promoted.groupBy(F.col("_row").alias(row)).agg(F.sort_array(F.collect_list(F.struct("start", F.col("as").alias("kind"), "end"))).alias("_added"))
-    added = F.coalesce(F.transform("_added", lambda x: F.struct(x["kind"].alias("kind"), x["start"].alias("start"), x["end"].alias("end"))), F.array().cast(span))
-    return base.join(lists, row, "left").select(*kept, F.struct(F.col(f"{into}.spans").alias("spans"), added.alias("added")).alias(into))
+        return opened(base, keep, F.struct(spans, none.alias("added")).alias(into))
+    lists = promoted.groupBy("_row").agg(F.sort_array(F.collect_list(F.struct("start", F.col("as").alias("kind"), "end"))).alias("_added"))
+    added = F.coalesce(F.transform("_added", lambda x: F.struct(x["kind"].alias("kind"), x["start"].alias("start"), x["end"].alias("end"))), none)
+    return opened(base.join(lists, "_row", "left"), keep, F.struct(spans, added.alias("added")).alias(into))
 
 
 def _rank(kind):
@@ -176,7 +174,7 @@ def joined(spans):
 
 def redacted(docs: DataFrame, text: str = "text") -> DataFrame:
     """All rows, every span of the text replaced by its kind in angle brackets; overlapping spans become one, named by the first."""
-    into, names = unused(docs, "_pii"), docs.columns
+    into, names, own = unused(docs, "_pii"), docs.columns, unused(docs, "_cuts")
     found = find(docs, names, text, into)
     ordered = F.array_sort(F.transform(F.concat(f"{into}.spans", f"{into}.added"), lambda x: F.struct(x["start"].alias("s"), _rank(x["kind"]).alias("r"), x["end"].alias("e"), x["kind"].alias("k"))))
     place = "struct<s:int,e:int,k:string>"
@@ -192,7 +190,7 @@ def redacted(docs: DataFrame, text: str = "text") -> DataFrame:
             ),
         ).otherwise(F.concat(got, F.array(F.struct(x["s"].alias("s"), x["e"].alias("e"), x["k"].alias("k")).cast(place)))),
     )
-    cuts, body = F.col("_cuts"), F.col(f"`{text}`")
+    cuts, body = F.col(own), F.col(f"`{text}`")
     pieces = F.transform(
         F.sequence(F.lit(0), F.size(cuts)),
         lambda i: F.concat(
@@ -205,7 +203,7 @@ def redacted(docs: DataFrame, text: str = "text") -> DataFrame:
         ),
     )
     clean = F.when(F.size(cuts) > 0, F.array_join(pieces, "")).otherwise(body)
-    return found.withColumn("_cuts", merged).withColumn(text, clean).select(*(F.col(f"`{c}`") for c in names))
+    return found.withColumn(own, merged).withColumn(text, clean).select(*(F.col(f"`{c}`") for c in names))
 
 
 def op9_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:

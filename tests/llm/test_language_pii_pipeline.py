@@ -155,3 +155,29 @@ def test_pipeline_equals_brute_force(spark, awkward, tmp_path):
     for _, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, docs, str(tmp_path)).columns == docs.columns
     assert quality.filtered(docs).count() == len(first) and decontaminate.MAX_SET_BYTES
+
+
+CLASHES = "_row _key _made _removed _box _pii _cuts _added _k1 _k2 _own _h _i _s _found _quality _text key text_ size _source _at _from rank block target units _rank quality pii found packed body class node component".split()
+
+
+def test_clashing_names_of_further_columns(spark):
+    from quillmark.llm import line_dedup, suffix_dedup, token_counts
+    from quillmark.llm._tables import new_path
+
+    text = "please write to a.b@c.example.org about the quiet orbit of the stone lamp in the river"
+    df = spark.createDataFrame([(1, text, "en", "s", "x"), (2, text + " again", "en", "s", "x"), (3, None, None, None, None)], "doc_id bigint, text string, lang string, source string, other string")
+    for c in CLASHES:
+        df = df.withColumn(c, df.other)
+    items = spark.createDataFrame([(1, "about the quiet orbit of the stone lamp in the river")], "item_id bigint, text string")
+    names = df.columns
+    assert pii.redacted(df).columns == names and pii.redacted(df).filter("text LIKE '%<EMAIL>%'").count() == 2
+    assert near_dedup.one_of_each(df).columns == names and near_dedup.near_duplicates(df).count() == 3
+    assert quality.filtered(df).columns == names and quality.filtered(df).count() == 2
+    for most in (decontaminate.MAX_SET_BYTES, 10):
+        found = decontaminate.scan(df, items.unionByName(items.selectExpr("2 as item_id", "'none of it' as text")), [c for c in names if c != "found"], max_bytes=most)
+        assert sorted(len(r.found.hit_words) for r in found.collect()) == [0, 11, 11]
+    assert decontaminate.without_documents(df, items).columns == names and decontaminate.without_spans(df, items).columns == names
+    assert line_dedup.repeats(df, [c for c in names if c != "_removed"]).count() == 3
+    assert suffix_dedup.repeats(df, names).count() == 3 and mixing.takes(df).count() == 3
+    assert token_counts.counted(df, names, token_counts.vocabulary_path(), new_path(spark, "test-cache")).columns == [*names, "n_tokens"]
+    assert language.predict(df, language.fit(df), names).columns == [*names, "lang_pred", "score", "ambiguous"]

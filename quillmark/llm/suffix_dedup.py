@@ -111,9 +111,11 @@ def _sorted_direct(data: bytes, starts: np.ndarray, stops: np.ndarray) -> np.nda
     return out[:, 0]
 
 
-def suffix_order(data: bytes, ends: np.ndarray, depth: int = LENGTH) -> np.ndarray:
+def suffix_order(data: bytes, ends: np.ndarray, depth: int = LENGTH, windows: bool = False) -> np.ndarray:
     """The suffixes of strings laid end to end, ordered by their first `depth` bytes; ends: of the strings, none empty.
 
+    With windows, only suffixes of at least `depth` bytes matter, and those behind the last of them that induce it: up to the next one that is sorted directly.
+
     Stage one sorts the suffixes that are smaller than their successors; stage two induces the others: when the bucket of a first byte is complete, its
     members' predecessors with a larger byte go to the ends of their own buckets, and those with the same byte to the end of this one.
     """
@@ -125,8 +127,14 @@ def suffix_order(data: bytes, ends: np.ndarray, depth: int = LENGTH) -> np.ndarr
     rise[last] = -1  # the end of a string is smaller than any byte
     known = np.where(rise != 0, np.arange(n), n)
     smaller = rise[np.minimum.accumulate(known[::-1])[::-1]] > 0
-    direct = np.flatnonzero(smaller)
-    stop = np.minimum(direct + depth, ends[np.searchsorted(ends, direct, "right")])
+    direct, sizes = np.flatnonzero(smaller), np.diff(np.concatenate([[0], ends]))
+    owner, seeds = np.repeat(np.arange(len(ends)), sizes), ends - 1
+    if windows:
+        next_direct = np.append(direct, n)[np.searchsorted(direct, np.maximum(ends - depth, 0))]
+        inside = next_direct < ends
+        stop_at = np.where(sizes < depth, -1, np.where(inside, next_direct, ends - 1))
+        direct, seeds = direct[direct <= stop_at[owner[direct]]], seeds[~inside & (sizes >= depth)]
+    stop = np.minimum(direct + depth, ends[owner[direct]])
     direct = _sorted_direct(data, direct, stop)
     cut = np.searchsorted(t[direct], np.arange(257))
     queues: list[list[np.ndarray]] = [[] for _ in range(256)]
@@ -140,7 +148,7 @@ def suffix_order(data: bytes, ends: np.ndarray, depth: int = LENGTH) -> np.ndarr
             for a, b in zip(edge, edge[1:], strict=False):
                 queues[by[a]].append(members[a:b])
 
-    deal(ends - 1)
+    deal(seeds)
     first = np.zeros(n + 1, bool)
     first[0] = True
     first[ends] = True
@@ -184,8 +192,8 @@ def common_prefixes(data: bytes, order: np.ndarray, depth: int = LENGTH) -> np.n
 def repeated_windows(strings: list[bytes], counts: np.ndarray, length: int = LENGTH) -> list[np.ndarray]:
     """The starts in each string of the windows of `length` bytes that occur twice or more, a string counting so many times."""
     data, ends = b"".join(strings), np.cumsum([len(s) for s in strings])
-    order = suffix_order(data, ends, length)
-    owner = np.searchsorted(ends, order, "right")
+    order = suffix_order(data, ends, length, True)
+    owner = np.repeat(np.arange(len(strings)), [len(s) for s in strings])[order]
     whole = ends[owner] - order >= length
     order, owner = order[whole], owner[whole]
     if not len(order):

@@ -66,6 +66,9 @@ def test_suffix_order_and_common_prefixes(monkeypatch, at_once, step):
         assert sorted(order.tolist()) == list(range(len(data)))
         assert [suffix(i)[:10] for i in order] == sorted(suffix(i)[:10] for i in order)
         whole = order[[len(suffix(i)) >= 10 for i in order]]
+        some = suffix_dedup.suffix_order(data, ends, 10, True)
+        same = some[[len(suffix(i)) >= 10 for i in some]]
+        assert sorted(same.tolist()) == sorted(whole.tolist()) and [suffix(i)[:10] for i in same] == [suffix(i)[:10] for i in whole]
         shared = suffix_dedup.common_prefixes(data, whole, 10)
         assert all(shared[k] == len(os.path.commonprefix([suffix(whole[k])[:10], suffix(whole[k - 1])[:10]])) for k in range(1, len(whole)))
 

@@ -15,6 +15,7 @@ spans of different kinds may overlap and all stay; further columns do not matter
 from __future__ import annotations
 
 import re
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -122,7 +123,7 @@ def _found(_, buf: np.ndarray, offs: np.ndarray) -> list:
         base = base_spans(text)
         spans[i] = [{"kind": k, "start": s, "end": e} for k, s, e in base]
         both = [(k, k, s, e) for k, s, e in base] + [(None, fits, s, e) for fits, s, e in candidates(text, base)]
-        cands[i] = [{"kind": k, "start": s, "end": e, "value": text[s:e][:256], "fits": fits, "patterns": patterns(text, s, e)} for k, fits, s, e in both]
+        cands[i] = [{"kind": k, "start": s, "end": e, "value": text[s:e] if e - s <= 64 else blake2b(text[s:e].encode()).hexdigest(), "fits": fits, "patterns": patterns(text, s, e)} for k, fits, s, e in both]
     place = [pa.field("kind", pa.string()), pa.field("start", pa.int32()), pa.field("end", pa.int32())]
     more = [pa.field("value", pa.string()), pa.field("fits", pa.string()), pa.field("patterns", pa.list_(pa.string()))]
     return [pa.array(spans, pa.list_(pa.struct(place))), pa.array(cands, pa.list_(pa.struct(place + more)))]
@@ -130,7 +131,7 @@ def _found(_, buf: np.ndarray, offs: np.ndarray) -> list:
 
 def _promoted(edges: DataFrame) -> DataFrame | None:
     """Spans that the rounds promote: _row, start, end, kind. edges: _row, start, end, kind, fits, value, pattern."""
-    spark, all_promoted = edges.sparkSession, None
+    all_promoted = None
     for _ in range(ROUNDS):
         values = edges.groupBy("pattern", "value").agg(F.max("kind").alias("kind"))
         counts = values.groupBy("pattern").agg(F.count(F.lit(1)).alias("n"), *(F.count(F.when(F.col("kind") == k, 1)).alias(k) for k in KINDS))

@@ -39,7 +39,9 @@ def tokenized(sections: DataFrame) -> DataFrame:
 
 def build(sections: DataFrame) -> Index:
     """The index of sections(section_id, title, content, file_path, ...), not written yet."""
-    postings = tokenized(sections).select("section_id", F.explode("tokens").alias("term")).groupBy("term", "section_id").agg(F.count(F.lit(1)).alias("tf"))
+    # The outer form, since a plain explode makes the optimizer add a filter that tokenises every text once more.
+    words = tokenized(sections).select("section_id", F.explode_outer("tokens").alias("term")).filter("term IS NOT NULL")
+    postings = words.groupBy("term", "section_id").agg(F.count(F.lit(1)).alias("tf"))
     term_stats = postings.filter(F.length("term") > 2).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     size = F.size(T.index_tokens("title", "content")).cast("bigint")
     section_stats = sections.select("section_id", size.alias("dl"), "title", F.length("content").alias("chars"), F.coalesce("file_path", F.lit("unknown")).alias("file_path"))
@@ -101,7 +103,7 @@ def top_keywords(texts: DataFrame, key: str = "section_id", text: str = "content
     """key and the array of its most frequent keywords, ties by first occurrence; every key has a row."""
     from pyspark.sql import Window
 
-    tokens = texts.select(key, F.posexplode(T.words(text)).alias("at", "word")).filter(F.col("word").rlike("^[a-z]{3,}$") & ~F.col("word").isin(K.KEYWORD_STOP_WORDS))
+    tokens = texts.select(key, F.posexplode_outer(T.words(text)).alias("at", "word")).filter(F.col("word").rlike("^[a-z]{3,}$") & ~F.col("word").isin(K.KEYWORD_STOP_WORDS))
     counts = tokens.groupBy(key, "word").agg(F.count(F.lit(1)).alias("n"), F.min("at").alias("at"))
     ranked = counts.withColumn("rank", F.row_number().over(Window.partitionBy(key).orderBy(F.desc("n"), "at"))).filter(F.col("rank") <= most)
     lists = ranked.groupBy(F.col(key).alias("_key")).agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "word"))), lambda x: x["word"]).alias("keywords"))

@@ -39,7 +39,7 @@ def markdown_sections(files: DataFrame) -> DataFrame:
     name = lambda h: F.concat_ws("_", T.stem("path"), h["line"], h["level"])
     parent = lambda h: F.try_element_at(F.filter("heads", lambda o: (o["line"] < h["line"]) & (o["level"] < h["level"])), F.lit(-1))
     named = heads.select("path", "lines", F.transform("heads", lambda h: F.struct(h["line"].alias("line"), h["level"].alias("level"), h["title"].alias("title"), name(h).alias("id"), parent(h)["line"].alias("up"))).alias("heads"))
-    each = named.select("path", "lines", "heads", F.posexplode("heads").alias("n", "h"))
+    each = named.select("path", "lines", "heads", F.posexplode_outer("heads").alias("n", "h")).filter("h IS NOT NULL")
     stop = F.coalesce(F.try_element_at("heads", F.col("n") + 2)["line"] - 1, F.size("lines"))
     up = F.try_element_at(F.filter("heads", lambda o: o["line"] == F.col("h.up")), F.lit(1))["id"]
     return each.select(
@@ -61,7 +61,7 @@ def rst_sections(files: DataFrame) -> DataFrame:
     is_head = lambda x, i: x.rlike(r'^(=+|-+|\^+|"+)\z') & (i > 0) & (i + 1 < F.size("s"))
     fits = lambda x, i: F.when(is_head(x, i), (F.length(above(i)) > 0) & (F.length(above(i)) <= F.length(x))).otherwise(False)
     heads = F.filter(F.transform("s", lambda x, i: F.when(fits(x, i), F.struct((i + 1).alias("line"), rst_level(x).alias("level"), above(i).alias("title")))), lambda h: h.isNotNull())
-    each = lines.select("path", "lines", heads.alias("heads")).select("path", "lines", "heads", F.posexplode("heads").alias("n", "h"))
+    each = lines.select("path", "lines", heads.alias("heads")).select("path", "lines", "heads", F.posexplode_outer("heads").alias("n", "h")).filter("h IS NOT NULL")
     stop = F.coalesce(F.try_element_at("heads", F.col("n") + 2)["line"] - 2, F.size("lines"))
     return each.select(
         F.concat(F.col("path"), F.lit("#"), F.concat_ws("_", T.stem("path"), "h.line", "h.level")).alias("section_id"), F.col("h.title").alias("title"), F.col("h.level").alias("level"),

@@ -10,8 +10,19 @@ from quillmark.functions import text as T
 from quillmark.operators import index
 
 
+SPREAD_BYTES = 4 << 20
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
+
+
+def spread(rows: DataFrame) -> DataFrame:
+    """Rows over all cores, where a scan of some megabytes has fewer tasks than cores, as one row group has; a larger table's scan is left as it is."""
+    execution, cores = rows._jdf.queryExecution(), rows.sparkSession.sparkContext.defaultParallelism
+    if int(str(execution.optimizedPlan().stats().sizeInBytes())) < SPREAD_BYTES or execution.toRdd().getNumPartitions() >= cores:
+        return rows
+    return rows.repartition(cores)
 
 
 def sections(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
 UNSET_FOLDER = "/tmp/checkpoints"
+#: Rows of an Arrow batch at most: texts of some KB make batches of some MB, in the JVM and in the worker.
+BATCH_ROWS = 1000
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -68,6 +70,7 @@ def add_struct(df: DataFrame, keep: list[str], name: str, kind: str, make, text:
 
     from quillmark.llm import _blocks
 
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     inner = StructType.fromDDL(kind)
     fields = [df.schema[c] for c in keep]
     source, most = unused(df, "_text"), limit or _blocks.BLOCK_BYTES

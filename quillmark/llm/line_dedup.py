@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmark.llm._tables import add_struct, boxed, documents, opened, written
+from quillmark.llm._tables import add_struct, boxed, documents, written
 
 LEAST_WORDS = 5
 #: What ends a unit; it stays with the unit, so that places add up and cuts leave no blank line behind.
@@ -56,8 +56,9 @@ def _split(separator: str, least_words: int):
 
 def repeats(docs: DataFrame, keep: list[str], key: str = "doc_id", text: str = "text", separator: str = SENTENCE, least_words: int = LEAST_WORDS) -> DataFrame:
     """Columns `keep` and _removed of every row: the code-point ranges of units that occur earlier in rank, in order."""
-    rows = boxed(docs, keep, _key=key, text=text)
-    base = written(add_struct(rows, ["_box", "_key"], "_made", KIND, _split(separator, least_words)).withColumn("_row", F.monotonically_increasing_id()), "units")
+    others = [c for c in keep if c != text]
+    rows = boxed(docs, others, _key=key, text=text)
+    base = written(add_struct(rows, ["_box", "_key", *(["text"] if text in keep else [])], "_made", KIND, _split(separator, least_words)).withColumn("_row", F.monotonically_increasing_id()), "units")
     each = base.select(F.struct(F.col("_key").isNull().alias("n"), F.col("_key").alias("k"), F.col("_row").alias("r")).alias("_rank"), F.explode("_made.units").alias("u"))
     found = each.select("_rank", F.col("u.start").alias("_at"), F.col("u.end").alias("_end"), F.col("u.digest").alias("_digest"))
     first = found.groupBy("_digest").agg(F.count(F.lit(1)).alias("_n"), F.min(F.struct("_rank", "_at")).alias("_first")).filter("_n > 1").select(F.col("_digest").alias("_d"), "_first")
@@ -65,7 +66,8 @@ def repeats(docs: DataFrame, keep: list[str], key: str = "doc_id", text: str = "
     late = found.join(first, F.col("_digest") == F.col("_d")).filter((F.col("_rank.r") != F.col("_first._rank.r")) | (F.col("_at") != F.col("_first._at")))
     lists = late.groupBy(F.col("_rank.r").alias("_row")).agg(F.sort_array(F.collect_list(F.struct(F.col("_at").alias("start"), F.col("_end").alias("end")))).alias("_removed"))
     none = F.array().cast("array<struct<start:int,end:int>>")
-    return opened(base.join(lists, "_row", "left"), keep, F.coalesce("_removed", none).alias("_removed"))
+    marked = base.join(lists, "_row", "left")
+    return marked.select(*(F.col("text").alias(c) if c == text else F.col(f"_box.`{c}`").alias(c) for c in keep), F.coalesce("_removed", none).alias("_removed"))
 
 
 def without(text, spans):

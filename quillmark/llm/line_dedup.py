@@ -6,6 +6,9 @@ others go, with their offsets in code points of the original text. Units of unde
 
 Whole lines alone would miss a passage put into the middle of a line, which these data hold; its whole sentences are units here.
 
+`line_repeats` takes whole lines of any length and, inside the lines that stay, sentences of `least_words` words, where two letters of a script without spaces count
+as a word. A line's first occurrence holds the first of its sentences too, so one grouping serves both. The query of operator 2 and its SQL have the sentences alone.
+
 Texts are split in one Arrow pass, which is written with row numbers; units carry digests and places, not text. Digests that occur once drop out before
 the join that marks removals; grouping combines map-side, so a line that a third of all rows share leaves one row in each task, and the join back is split where skewed.
 
@@ -29,6 +32,11 @@ LEAST_WORDS = 5
 LINE, PARAGRAPH, SENTENCE = r"\n", r"\n\n+", r"\n|[.!?]\x20"
 SPACES = re.compile(r"[\x20\x09-\x0D]+")
 KIND = "units array<struct<start:int,end:int,digest:binary>>"
+#: `line` is null for a whole line and else the start of the line that a sentence is in.
+NESTED = "units array<struct<start:int,end:int,digest:binary,line:int>>"
+#: Sentence ends inside a line, and letters of scripts that put no spaces between words (Thai to Myanmar, Khmer, kana, Han).
+INNER = re.compile(r"[.!?]\x20|[\u3002\uFF01\uFF1F]")
+SPACELESS = re.compile("[\u0E00-\u0EFF\u1000-\u109F\u1780-\u17FF\u3040-\u30FF\u3400-\u4DBF\u4E00-\u9FFF\uF900-\uFAFF\U00020000-\U0003FFFF]")
 
 
 def units_of(text: str, ends: re.Pattern, least_words: int) -> list[tuple[int, int, bytes]]:
@@ -43,28 +51,65 @@ def units_of(text: str, ends: re.Pattern, least_words: int) -> list[tuple[int, i
     return out
 
 
-def _split(separator: str, least_words: int):
-    ends = re.compile(separator)
-    kind = pa.list_(pa.struct([pa.field("start", pa.int32()), pa.field("end", pa.int32()), pa.field("digest", pa.binary())]))
+def nested_units_of(text: str, least_words: int) -> list[tuple[int, int, bytes, int | None]]:
+    """(start, end, digest, line) of all lines that are not blank and of the sentences inside them that have words enough."""
+    out, at = [], 0
+    for line in text.split("\n"):
+        start, stop = at, min(at + len(line) + 1, len(text))
+        normal = SPACES.sub(" ", line.lower()).strip(" ")
+        if normal:
+            out.append((start, stop, blake2b(normal.encode(), digest_size=16).digest(), None))
+            for end in (*(start + m.end() for m in INNER.finditer(line)), stop):
+                inner = SPACES.sub(" ", text[at:end].lower()).strip(" ")
+                if inner and inner != normal and inner.count(" ") + 1 + len(SPACELESS.findall(inner)) // 2 >= least_words:
+                    out.append((at, end, blake2b(inner.encode(), digest_size=16).digest(), start))
+                at = end
+        at = stop
+    return out
+
+
+def _split(units, names: tuple[str, ...]):
+    """units: from a text to tuples in the order of names."""
+    kinds = {"digest": pa.binary()}
+    kind = pa.list_(pa.struct([pa.field(n, kinds.get(n, pa.int32())) for n in names]))
 
     def make(_, buf, offs) -> list:
         raw = buf.tobytes()
-        return [pa.array([[dict(zip(("start", "end", "digest"), u, strict=True)) for u in units_of(raw[a:b].decode(), ends, least_words)] for a, b in zip(offs[:-1].tolist(), offs[1:].tolist(), strict=True)], kind)]
+        return [pa.array([[dict(zip(names, u, strict=True)) for u in units(raw[a:b].decode())] for a, b in zip(offs[:-1].tolist(), offs[1:].tolist(), strict=True)], kind)]
 
     return make
 
 
 def repeats(docs: DataFrame, keep: list[str], key: str = "doc_id", text: str = "text", separator: str = SENTENCE, least_words: int = LEAST_WORDS) -> DataFrame:
     """Columns `keep` and _removed of every row: the code-point ranges of units that occur earlier in rank, in order."""
+    ends = re.compile(separator)
+    return _marked(docs, keep, key, text, KIND, _split(lambda t: units_of(t, ends, least_words), ("start", "end", "digest")))
+
+
+def line_repeats(docs: DataFrame, keep: list[str], key: str = "doc_id", text: str = "text", least_words: int = LEAST_WORDS) -> DataFrame:
+    """As repeats, of whole lines of any length and of the sentences inside lines that stay; a removed line is one range."""
+    return _marked(docs, keep, key, text, NESTED, _split(lambda t: nested_units_of(t, least_words), ("start", "end", "digest", "line")))
+
+
+def _marked(docs: DataFrame, keep: list[str], key: str, text: str, kind: str, split) -> DataFrame:
     others = [c for c in keep if c != text]
     rows = boxed(docs, others, _key=key, text=text)
-    base = written(add_struct(rows, ["_box", "_key", *(["text"] if text in keep else [])], "_made", KIND, _split(separator, least_words)).withColumn("_row", F.monotonically_increasing_id()), "units")
+    base = written(add_struct(rows, ["_box", "_key", *(["text"] if text in keep else [])], "_made", kind, split).withColumn("_row", F.monotonically_increasing_id()), "units")
     each = base.select(F.struct(F.col("_key").isNull().alias("n"), F.col("_key").alias("k"), F.col("_row").alias("r")).alias("_rank"), F.explode("_made.units").alias("u"))
-    found = each.select("_rank", F.col("u.start").alias("_at"), F.col("u.end").alias("_end"), F.col("u.digest").alias("_digest"))
+    line = [F.col("u.line").alias("_line")] if kind == NESTED else []
+    found = each.select("_rank", F.col("u.start").alias("_at"), F.col("u.end").alias("_end"), F.col("u.digest").alias("_digest"), *line)
     first = found.groupBy("_digest").agg(F.count(F.lit(1)).alias("_n"), F.min(F.struct("_rank", "_at")).alias("_first")).filter("_n > 1").select(F.col("_digest").alias("_d"), "_first")
     first = written(first, "units-first")  # a plain shuffle on both sides of the join, which adaptive execution can split
     late = found.join(first, F.col("_digest") == F.col("_d")).filter((F.col("_rank.r") != F.col("_first._rank.r")) | (F.col("_at") != F.col("_first._at")))
-    lists = late.groupBy(F.col("_rank.r").alias("_row")).agg(F.sort_array(F.collect_list(F.struct(F.col("_at").alias("start"), F.col("_end").alias("end")))).alias("_removed"))
+    late = late.withColumn("_row", F.col("_rank.r"))
+    span = F.struct(F.col("_at").alias("start"), F.col("_end").alias("end"))
+    if kind == NESTED:
+        whole = F.max(F.when(F.col("_line").isNull(), span))
+        by_line = late.groupBy("_row", F.coalesce("_line", "_at").alias("_line")).agg(whole.alias("_whole"), F.collect_list(span).alias("_inner"))
+        spans = F.flatten(F.collect_list(F.when(F.col("_whole").isNotNull(), F.array("_whole")).otherwise(F.col("_inner"))))
+        lists = by_line.groupBy("_row").agg(F.sort_array(spans).alias("_removed"))
+    else:
+        lists = late.groupBy("_row").agg(F.sort_array(F.collect_list(span)).alias("_removed"))
     none = F.array().cast("array<struct<start:int,end:int>>")
     marked = base.join(lists, "_row", "left")
     return marked.select(*(F.col("text").alias(c) if c == text else F.col(f"_box.`{c}`").alias(c) for c in keep), F.coalesce("_removed", none).alias("_removed"))

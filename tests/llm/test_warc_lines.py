@@ -141,3 +141,22 @@ def test_passages_inside_lines(spark):
     df = spark.createDataFrame([(1, f"start of it {passage} end."), (2, f"Another {passage} here"), (3, "clean text of its own. Nothing shared at all here.")], "doc_id bigint, text string")
     rows = {r.doc_id: [r.text[s.start : s.end] for s in r._removed] for r in line_dedup.repeats(df, ["doc_id", "text"]).collect()}
     assert rows == {1: [], 2: ["Seven eight nine ten eleven twelve! "], 3: []}
+
+
+def test_whole_lines_and_sentences_inside_them(spark, docs, awkward, no_docs):
+    passage = "One two three four five six. Seven eight nine ten eleven twelve! End"
+    texts = [
+        (1, f"All rights reserved.\nAccept all. Learn more. Close now.\nstart {passage} here\n今日は良い天気です\n\n前置き。我们明天早上一起去公园散步吧。终"),
+        (2, f"ALL  rights reserved.\nown line\nAccept all. Learn more. Close now.\n\nother {passage} there\n今日は良い天気です\n別の。我们明天早上一起去公园散步吧。完"),
+        (3, "A new start. Seven eight nine ten eleven twelve! Then more.\nA new start. Seven eight nine ten eleven twelve! Then more."),
+    ]
+    df = spark.createDataFrame(texts, "doc_id bigint, text string").repartition(2)
+    rows = {r.doc_id: [r.text[s.start : s.end] for s in r._removed] for r in line_dedup.line_repeats(df, ["doc_id", "text"]).collect()}
+    assert rows[1] == []
+    assert rows[2] == ["ALL  rights reserved.\n", "Accept all. Learn more. Close now.\n", "Seven eight nine ten eleven twelve! ", "今日は良い天気です\n", "我们明天早上一起去公园散步吧。"]
+    assert rows[3] == ["Seven eight nine ten eleven twelve! ", "A new start. Seven eight nine ten eleven twelve! Then more."]
+    # Without sentences, all later copies of lines go and nothing else.
+    want = brute_lines(awkward, r"(?<=\n)", 1)
+    got = line_dedup.line_repeats(docs, ["doc_id", "text"], least_words=1 << 30).collect()
+    assert sorted(repr((r.doc_id, [(s.start, s.end) for s in r._removed])) for r in got if r.doc_id is not None and r.doc_id != 1) == sorted(repr((awkward[i][0], s)) for i, s in want.items() if awkward[i][0] not in (None, 1))
+    assert line_dedup.line_repeats(no_docs, ["doc_id"]).count() == 0

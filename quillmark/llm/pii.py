@@ -28,7 +28,6 @@ KINDS = ("email", "ip", "card", "phone")
 LEAST_SEEDS = 4
 CONFIDENT = 0.75
 PROMOTE = 0.9
-ROUNDS = 4
 
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -132,7 +131,7 @@ def _found(_, buf: np.ndarray, offs: np.ndarray) -> list:
 def _promoted(edges: DataFrame) -> DataFrame | None:
     """Spans that the rounds promote: _row, start, end, kind. edges: _row, start, end, kind, fits, value, pattern."""
     all_promoted = None
-    for _ in range(ROUNDS):
+    while True:  # each round takes one occurrence at least out of those without a kind
         values = edges.groupBy("pattern", "value").agg(F.max("kind").alias("kind"))
         counts = values.groupBy("pattern").agg(F.count(F.lit(1)).alias("n"), *(F.count(F.when(F.col("kind") == k, 1)).alias(k) for k in KINDS))
         by_kind = F.explode(F.array(*(F.struct(F.lit(k).alias("as"), F.col(k).alias("seeds")) for k in KINDS)))
@@ -143,10 +142,9 @@ def _promoted(edges: DataFrame) -> DataFrame | None:
         best = scored.filter(F.col("sure") >= PROMOTE).groupBy("_row", "start", "end").agg(F.max_by("as", F.struct("sure", "as")).alias("as"))
         best = written(best, "pii-promoted")
         if best.isEmpty():
-            break
+            return all_promoted
         all_promoted = best if all_promoted is None else all_promoted.unionByName(best)
         edges = written(edges.join(best, ["_row", "start", "end"], "left").withColumn("kind", F.coalesce("kind", "as")).drop("as"), "pii-edges")
-    return all_promoted
 
 
 def find(docs: DataFrame, keep: list[str], text: str = "text", into: str = "pii") -> DataFrame:

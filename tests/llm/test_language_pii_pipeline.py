@@ -107,6 +107,21 @@ def test_contexts_of_seeds_find_unseen_numbers(spark, no_docs):
     assert pii.find(no_docs, ["doc_id"]).count() == 0
 
 
+def test_rounds_go_on_until_none_is_promoted(spark):
+    """Seven links of two numbers: what the words before or after a link's numbers tell is confident once the link before is promoted, one round each."""
+    word = lambda n: "w" + chr(97 + n // 26) + chr(97 + n % 26)
+    unseen, seeds, own = iter(range(100, 999)), iter(range(1000, 9999)), iter(range(20, 600))
+    number, seed, other = lambda: f"555-0{next(unseen)}-77", lambda: f"+1 555 010 {next(seeds)}", lambda: word(next(own))
+    sides = lambda k: (f"{word(k)} mid", f"nid {word(k + 1)}") if k % 2 else (f"{word(k + 1)} mid", f"nid {word(k)}")
+    links = [f"{sides(k)[0]} {number()} {sides(k)[1]}" for k in range(7) for _ in range(2)]
+    texts = links + [f"{other()} mid {seed()} nid {other()}" for _ in range(72)] + [f"{other()} mid {number()} nid {other()}" for _ in range(10)]
+    for k in range(8):
+        for _ in range(4 if k else 6):
+            texts.append(f"{word(k)} mid {seed()} {other()} {other()}" if k % 2 else f"{other()} {other()} {seed()} nid {word(k)}")
+    found = pii.find(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string"), ["doc_id"]).collect()
+    assert sorted(r.doc_id for r in found if r.pii.added) == list(range(len(links)))
+
+
 def test_op9_digest_columns(spark, tmp_path):
     spark.createDataFrame(PII_ROWS, "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
     for r in pii.op9_personal_data(spark, str(tmp_path)).collect():

@@ -173,6 +173,17 @@ def semantic_batch(spark, d):
     return scores(search.similar(C.vectors(spark, d), query_vectors(spark, d, 10)))
 
 
+def batch_vectors(spark: SparkSession, d: str) -> list[tuple[str, list[float]]]:
+    """The vectors whose id is divisible by 50, as queries."""
+    rows = C.table(spark, d, "embeddings").filter("vec_id % 50 = 0").select("vec_id", "embedding").orderBy("vec_id").collect()
+    return [(str(r.vec_id), list(r.embedding)) for r in rows]
+
+
+@query("semantic_batch_whole", f"WITH {VECTORS} SELECT q.section_id AS query_id, v.section_id, round(list_dot_product(v.e, q.e), 6) AS score FROM v, v q WHERE q.vec_id % 50 = 0 AND list_dot_product(v.e, q.e) > 0.3")
+def semantic_batch_whole(spark, d):
+    return scores(search.similar(C.vectors(spark, d), batch_vectors(spark, d)))
+
+
 LEAST = 0.1
 LEGS = f"""{C.INDEX}{C.bm25_sql(values(["worthless", "oran", "anat", "error", "exception", "bug", "issue", "problem"]))}, {VECTORS},
 k AS (SELECT section_id, 2.0::DOUBLE * score AS ks FROM bm25), m AS (SELECT v.section_id, list_dot_product(v.e, q.e) AS ss FROM v JOIN sections USING (section_id), v q WHERE q.vec_id = 0 AND list_dot_product(v.e, q.e) > {LEAST}),

@@ -62,6 +62,17 @@ def test_similarity_blocks_and_odd_vectors(spark, monkeypatch):
     assert search.similar(vectors, []).count() == 0
 
 
+def test_whole_dense_batch_equals_brute_force(spark, tmp_path, monkeypatch):
+    from quillmark.plans import catalogue
+
+    vectors = {i: [math.cos(i), math.sin(i)] for i in [*range(130), 200, 1000, 1001, 5000]}
+    spark.createDataFrame([(i, v, 0) for i, v in vectors.items()], "vec_id bigint, embedding array<float>, label int").repartition(3).write.parquet(f"{tmp_path}/embeddings.parquet")
+    dots = {(str(q), str(i)): sum(a * b for a, b in zip(vectors[q], vectors[i])) for q in (0, 50, 100, 200, 1000, 5000) for i in vectors}
+    monkeypatch.setattr(search, "QUERY_BLOCK", 4)
+    rows = catalogue.QUERIES["semantic_batch_whole"](spark, str(tmp_path)).collect()
+    assert {(r.query_id, r.section_id): r.score for r in rows} == {k: pytest.approx(x, abs=1e-5) for k, x in dots.items() if x > 0.3}
+
+
 def test_merge_and_boosts(spark):
     kind = "section_id string, title string, chars int, file_path string, score double, match_type string"
     row = lambda i, s, m, chars=600: (i, "Title", chars, "f", s, m)

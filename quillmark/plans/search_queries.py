@@ -77,6 +77,19 @@ def bm25_batch_queries(spark, d):
     return found.withColumn("rank", rank).filter("rank <= 5")
 
 
+@query(
+    "bm25_batch_whole_queries",
+    f"WITH {C.INDEX}{C.bm25_sql(f'SELECT item_id AS query_id, unnest({PREPROCESSED}) AS term FROM benchmark')}, "
+    "r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, section_id) AS rank FROM bm25) SELECT query_id, section_id, round(score, 6) AS score, rank FROM r WHERE rank <= 5",
+)
+def bm25_batch_whole_queries(spark, d):
+    """The top 5 of each benchmark item by all of its terms."""
+    asked = C.table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), T.query_terms("text").alias("terms"))
+    found = scores(search.bm25_batch(index.build(C.sections(spark, d)), asked))
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "section_id")).cast("bigint")
+    return found.withColumn("rank", rank).filter("rank <= 5")
+
+
 @query("query_preprocess", f"SELECT item_id, {PREPROCESSED} AS terms FROM benchmark")
 def query_preprocess(spark, d):
     return C.table(spark, d, "benchmark").select("item_id", T.query_terms("text").alias("terms"))

@@ -12,6 +12,12 @@ def sections(spark, rows):
     return spark.createDataFrame([(str(i), *r) for i, r in enumerate(rows)], SECTION)
 
 
+def sections_of(spark, path):
+    from quillmark.plans import corpus
+
+    return corpus.sections(spark, str(path))
+
+
 @pytest.fixture(scope="module")
 def built(spark):
     rows = [("Alpha guide", "alpha beta beta", "a.md"), ("Gamma", "gamma delta the end", None), ("Delta", "delta " * 200, "d.md"), ("Other", "words of no use", "o.md"), ("More", "still other words", "m.md")]
@@ -73,6 +79,18 @@ def test_whole_dense_batch_equals_brute_force(spark, tmp_path, monkeypatch):
     assert {(r.query_id, r.section_id): r.score for r in rows} == {k: pytest.approx(x, abs=1e-5) for k, x in dots.items() if x > 0.3}
 
 
+def test_whole_batch_queries_use_terms_after_the_third(spark, tmp_path):
+    from quillmark.plans import catalogue
+
+    docs = [(i, t, "en", "s", len(t)) for i, t in enumerate(["alpha beta gamma", "delta omega", "omega omega", *(f"filler{i} text{i}" for i in range(7))])]
+    spark.createDataFrame(docs, "doc_id bigint, text string, lang string, source string, n_chars bigint").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, "alpha beta gamma delta omega"), (2, "none such words omega")], "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    rows = catalogue.QUERIES["bm25_batch_whole_queries"](spark, str(tmp_path)).collect()
+    assert {(r.query_id, r.section_id) for r in rows} == {(1, "0"), (1, "1"), (1, "2"), (2, "1"), (2, "2")}
+    one = {r.section_id: round(r.score, 6) for r in search.bm25(index.build(sections_of(spark, tmp_path)), "alpha beta gamma delta omega".split()).collect()}
+    assert {r.section_id: r.score for r in rows if r.query_id == 1} == one
+
+
 def test_merge_and_boosts(spark):
     kind = "section_id string, title string, chars int, file_path string, score double, match_type string"
     row = lambda i, s, m, chars=600: (i, "Title", chars, "f", s, m)

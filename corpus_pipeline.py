@@ -45,7 +45,8 @@ STAGES = [
     ("personal data", personal_data),
     ("mixing", mixing_stage),
 ]
-#: Consistent sampling, bootstrapped patterns and seeded permutations are beyond SQL; the tests hold run() against a brute-force version.
+#: Consistent sampling, bootstrapped patterns and seeded permutations are beyond SQL; the tests hold run() against brute force up to the base personal data,
+#: without context spans, and the mix against mixing.takes itself.
 ORACLE_SQL = None
 
 

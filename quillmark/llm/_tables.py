@@ -8,19 +8,30 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
-UNSET_FOLDER = "/tmp/checkpoints"
-#: Rows of an Arrow batch at most: texts of some KB make batches of some MB, in the JVM and in the worker.
-BATCH_ROWS = 1000
+#: Only for sessions in one process.
+LOCAL_FOLDER = "/tmp/checkpoints"
+#: Bytes of an Arrow batch, and of a row group that a task of an intermediate table holds before it is written.
+BATCH_BYTES = 4 << 20
+GROUP_BYTES = 16 << 20
+BOUND = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; set here only where the session has none, as in tests."""
+    """spark.checkpoint.dir. A session in one process may go without; on a cluster there is no folder to fall back to."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        spark.conf.set("spark.checkpoint.dir", folder := UNSET_FOLDER)
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        folder = LOCAL_FOLDER
     return folder.rstrip("/")
 
 
+def bounded(spark: SparkSession) -> None:
+    """Arrow batches of BATCH_BYTES at most, unless the session has a bound of its own: Spark's 64 MB are held several times over, in the JVM and in the worker."""
+    if BOUND not in spark.conf.getAll:
+        spark.conf.set(BOUND, str(BATCH_BYTES))
+
+
 def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
@@ -29,10 +40,19 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """The rows, written to the shared folder once and read again: cuts lineage and survives lost executors."""
     spark = df.sparkSession
     path = new_path(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
+    bounded(spark)
+    df.write.option("compression", "zstd").option("parquet.block.size", GROUP_BYTES).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def removed(df: DataFrame) -> None:
+    """Deletes a table that written() made, once nothing reads it any more."""
+    spark = df.sparkSession
+    for name in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        path = spark._jvm.org.apache.hadoop.fs.Path(name)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def documents(spark: SparkSession, sf_dir: str, table: str = "documents") -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
@@ -64,20 +84,21 @@ def opened(df: DataFrame, keep: list[str], *more) -> DataFrame:
 def add_struct(df: DataFrame, keep: list[str], name: str, kind: str, make, text: str = "text", limit: int | None = None) -> DataFrame:
     """Columns `keep` and a struct column `name` of type `kind`, which `make(rows, buf, offs)` fills block by block.
 
-    make returns the struct's arrays in order. Only `keep` and the text leave the JVM, in one Arrow pass without a shuffle.
+    make returns the struct's arrays in order. Only `keep` and the text leave the JVM, in one Arrow pass without a shuffle; a text that is kept too is sent once.
     """
     import pyarrow as pa
 
     from quillmark.llm import _blocks
 
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    bounded(df.sparkSession)
     inner = StructType.fromDDL(kind)
     fields = [df.schema[c] for c in keep]
-    source, most = unused(df, "_text"), limit or _blocks.BLOCK_BYTES
+    source, most = text if text in keep else unused(df, "_text"), limit or _blocks.BLOCK_BYTES
 
     def run(batches):
         for rows, buf, offs in _blocks.blocks(batches, source, most):
             made = pa.StructArray.from_arrays([x if isinstance(x, pa.Array) else pa.array(x) for x in make(rows, buf, offs)], inner.names)
             yield pa.RecordBatch.from_arrays([*(rows.column(i) for i in range(len(keep))), made], [*keep, name])
 
-    return df.select(*(F.col(f"`{c}`") for c in keep), F.col(f"`{text}`").alias(source)).mapInArrow(run, StructType([*fields, StructField(name, inner)]))
+    body = [] if text in keep else [F.col(f"`{text}`").alias(source)]
+    return df.select(*(F.col(f"`{c}`") for c in keep), *body).mapInArrow(run, StructType([*fields, StructField(name, inner)]))

@@ -1,27 +1,32 @@
-"""Connected components of a table of links, as joins and aggregates over tables in the shared folder."""
+"""Connected components of a table of links, as joins and aggregates over tables in the shared folder.
+
+The least neighbour of each node is written before it is joined: both sides of the join are then plain shuffles, and adaptive execution splits a node that a third of all
+links share. Tables of a pass are deleted when the next one stands.
+
+Defined cases: a null end of a link counts as no link; links of a node to itself and repeated links change nothing; no links give no rows.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillmark.llm._tables import written
+from quillmark.llm._tables import removed, written
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
-    """Each node links its larger neighbours to its least one (or itself)."""
+def _large_star(edges: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
+    """Each node links its larger neighbours to its least one (or itself); then the table that this reads."""
     both = edges.union(edges.select("b", "a"))
-    least = both.groupBy(F.col("a").alias("_a")).agg(F.least(F.min("b"), F.first("a")).alias("_m"))
+    least = written(both.groupBy(F.col("a").alias("_a")).agg(F.least(F.min("b"), F.first("a")).alias("_m")), name)
     linked = both.filter("b > a").join(least, F.col("a") == F.col("_a"))
-    return linked.select(F.col("b").alias("a"), F.col("_m").alias("b")).filter("a <> b").distinct()
+    return linked.select(F.col("b").alias("a"), F.col("_m").alias("b")).filter("a <> b").distinct(), least
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
-    """Each node links its smaller neighbours and itself to the least of them."""
-    down = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    least = down.groupBy(F.col("a").alias("_a")).agg(F.min("b").alias("_m"))
-    others = down.join(least, F.col("a") == F.col("_a")).filter("b <> _m").select(F.col("b").alias("a"), F.col("_m").alias("b"))
-    return others.union(least.select(F.col("_a"), F.col("_m"))).distinct()
+def _small_star(edges: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
+    """Each node links its smaller neighbours and itself to the least of them; then the table that this reads. edges: b < a, each link once."""
+    least = written(edges.groupBy(F.col("a").alias("_a")).agg(F.min("b").alias("_m")), name)
+    others = edges.join(least, F.col("a") == F.col("_a")).filter("b <> _m").select(F.col("b").alias("a"), F.col("_m").alias("b"))
+    return others.union(least.select(F.col("_a"), F.col("_m"))).distinct(), least
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -38,7 +43,12 @@ def components(edges: DataFrame, name: str = "links") -> DataFrame:
     now = written(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), name)
     state = _state(now)
     while state[0]:
-        now = written(_small_star(_large_star(now)), name)
+        large, read = _large_star(now, f"{name}-least")
+        middle = written(large, name)
+        small, too = _small_star(middle, f"{name}-least")
+        before, now = now, written(small, name)
+        for table in (read, too, middle, before):
+            removed(table)
         if (after := _state(now)) == state:
             break
         state = after

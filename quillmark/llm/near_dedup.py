@@ -306,7 +306,8 @@ def _groups(texts: DataFrame, groups: DataFrame) -> DataFrame:
     joined = written(joined.select("group", "key", "packed").mapInArrow(_unpacked, "group binary, key binary, text string"), "near-groups")
     sizes = joined.groupBy(F.col("group").alias("_group")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("text")).alias("b"))
     blocks = F.greatest(F.ceil(F.col("n") / GROUP), F.ceil(F.col("b") / GROUP_BYTES), F.lit(1)).cast("int")
-    dealt = joined.join(sizes.select("_group", blocks.alias("m")), F.col("group") == F.col("_group"))
+    sizes = written(sizes.select("_group", blocks.alias("m")), "near-sizes")  # a plain shuffle on both sides of the join, which adaptive execution can split
+    dealt = joined.join(sizes, F.col("group") == F.col("_group"))
     dealt = dealt.withColumn("block", F.pmod(F.xxhash64("key"), F.col("m")).cast("int"))
     pairs = F.transform(
         F.sequence(F.lit(0), F.col("m") - 1),

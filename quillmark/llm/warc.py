@@ -11,8 +11,8 @@ local headers, and the records range-read by index, in one seek for each READ_BY
 Paths go through pyarrow's file systems, so the folder may be a local mount or a store that pyarrow knows.
 
 Defined cases: a null html is the empty payload; a null url is written as `urn:page:`; rows that share the largest page_id of a group are all
-responses, and in a group without any page_id all are; a null page_id beside others revisits; smaller payloads are all responses; an
-empty table writes nothing and reads back no rows; further columns are ignored.
+responses, and in a group without any page_id all are; a null page_id beside others revisits; smaller payloads are all responses; payloads of any length are
+one record each; an empty table writes nothing and reads back no rows; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -215,6 +215,7 @@ def write_archives(pages: DataFrame, folder: str, least: int = LEAST, archive_by
     rows = pages.select("page_id", "url", body.alias("html"), F.sha1(body.cast("binary")).alias("digest"), (F.octet_length(body) >= least).alias("_large"))
     shown = rows.select("page_id", "digest", "_large")
     groups = shown.filter("_large").groupBy(F.col("digest").alias("_digest")).agg(F.count(F.lit(1)).alias("_n"), F.max("page_id").alias("_last")).filter("_n > 1 AND _last IS NOT NULL")
+    groups = written(groups, "warc-groups")  # a plain shuffle on both sides of the join, which adaptive execution can split
     joined = rows.join(groups, F.col("_large") & (F.col("digest") == F.col("_digest")), "left")
     revisit = F.col("_last").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("_last"))
     records = joined.select("page_id", "url", "html", "digest", revisit.alias("revisit"), F.when(revisit, F.col("_last")).alias("refers_to"))

@@ -2,23 +2,26 @@
 
 All windows of 10 consecutive words of the benchmark's items (a shorter item is one window) become a hash set. Its size
 is measured first: up to MAX_SET_BYTES of item text are broadcast at once, a larger benchmark goes in blocks of that size,
-each scanned against all documents, and the hits of a document are united. Documents are scanned in one Arrow pass: rolling
+one after the other: each is scanned against all documents and its hits written, and the hits of a document are united. Documents are scanned in one Arrow pass: rolling
 word-window hashes of a whole block are looked up, and every hit is compared word by word before it counts. No shuffle
 with one block; with more, only hits are shuffled.
 
 Defined cases: a null or empty text has no words and no hits; null or empty items have no windows; a null item id reads as
-the empty string and items that share an id count once; repeated document rows each get their own result; an empty
-benchmark hits nothing. Words of any length and texts of any length are scanned whole.
+the empty string and items that share an id count once; a window that several items share counts for each of them; repeated document rows each get their own result; an empty
+benchmark hits nothing; an empty table of documents gives an empty result; further columns, whatever their names, are kept as they are. Words of any length and texts of any
+length are scanned whole.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillmark.llm import _blocks as B
-from quillmark.llm._tables import add_struct, boxed, documents, opened, row_key, unused
+from quillmark.llm._tables import add_struct, boxed, documents, opened, row_key, unused, written
 
 WINDOW = 10
 MAX_SET_BYTES = 16 << 20
@@ -57,12 +60,8 @@ class WindowSet:
 
 
 def _scan(buf: np.ndarray, offs: np.ndarray, windows: WindowSet) -> list:
-    import pyarrow as pa
-
     n = len(offs) - 1
     low, starts, ends, rows = B.plain_words(buf, offs)
-    n_words = B.per_row(rows, n)
-    first = np.concatenate([[0], np.cumsum(n_words)])
     hashes = B.slice_hashes(low, starts, ends) if len(starts) else np.zeros(0, np.uint64)
     hits, items = np.zeros(len(starts) + 1, np.int32), [set() for _ in range(n)]
     for length, (ordered, likely, *_) in windows.by_length.items():
@@ -76,6 +75,16 @@ def _scan(buf: np.ndarray, offs: np.ndarray, windows: WindowSet) -> list:
                 hits[w + length] -= 1
                 items[rows[w]] |= ids
     hit = np.flatnonzero(np.cumsum(hits[:-1]) > 0) if len(starts) else np.zeros(0, np.int64)
+    return _described(buf, offs, starts, ends, rows, hit, [sorted(x) for x in items])
+
+
+def _described(buf: np.ndarray, offs: np.ndarray, starts: np.ndarray, ends: np.ndarray, rows: np.ndarray, hit: np.ndarray, items: list[list[str]]) -> list:
+    """The struct's arrays of a block whose words `hit` are hit."""
+    import pyarrow as pa
+
+    n = len(offs) - 1
+    n_words = B.per_row(rows, n)
+    first = np.concatenate([[0], np.cumsum(n_words)])
     in_row = (hit - first[rows[hit]]).astype(np.int32)
     spans: list[list[dict]] = [[] for _ in range(n)]
     if len(hit):
@@ -88,38 +97,56 @@ def _scan(buf: np.ndarray, offs: np.ndarray, windows: WindowSet) -> list:
             spans[rows[a]].append({"start": int(points[starts[a]] - base), "end": int(points[ends[b]] - base)})
     lists = pa.ListArray.from_arrays(pa.array(np.searchsorted(rows[hit], np.arange(n + 1)).astype(np.int32)), pa.array(in_row))
     kind = pa.list_(pa.struct([pa.field("start", pa.int32()), pa.field("end", pa.int32())]))
-    return [n_words, lists, pa.array([sorted(x) for x in items], pa.list_(pa.string())), pa.array(spans, kind)]
+    return [n_words, lists, pa.array(items, pa.list_(pa.string())), pa.array(spans, kind)]
 
 
-def window_sets(items: DataFrame, item_id: str = "item_id", text: str = "text", window: int = WINDOW, max_bytes: int = MAX_SET_BYTES) -> list[WindowSet]:
-    """The items' windows in blocks of at most about max_bytes of text; one block if all fit."""
+def _united(block, buf: np.ndarray, offs: np.ndarray) -> list:
+    """As _scan, from the hit words (second column) and items (third) that the blocks of a benchmark have found."""
+    _, starts, ends, rows = B.plain_words(buf, offs)
+    first = np.concatenate([[0], np.cumsum(B.per_row(rows, len(offs) - 1))])
+    words = block.column(1).to_pylist()
+    hit = np.concatenate([np.zeros(0, np.int64), *(first[i] + np.array(w, np.int64) for i, w in enumerate(words) if w)])
+    return _described(buf, offs, starts, ends, rows, hit, [x or [] for x in block.column(2).to_pylist()])
+
+
+def window_sets(items: DataFrame, item_id: str = "item_id", text: str = "text", window: int = WINDOW, max_bytes: int = MAX_SET_BYTES) -> tuple[int, Callable[[int], WindowSet]]:
+    """How many blocks of at most about max_bytes of text the items make, and how to build the windows of one: the driver holds one block."""
     sized = items.select(F.coalesce(F.col(item_id).cast("string"), F.lit("")).alias("i"), F.coalesce(F.col(text), F.lit("")).alias("t"))
     total = sized.agg(F.coalesce(F.sum(F.octet_length("t")), F.lit(0)).alias("b")).first()["b"]
     n = max(1, -(-total // max_bytes))
-    parts = [sized if n == 1 else sized.filter(F.pmod(F.xxhash64("i", "t"), F.lit(n)) == b) for b in range(n)]
-    return [WindowSet([r["i"] for r in rows], [r["t"] for r in rows], window) for rows in (p.collect() for p in parts)]
+
+    def block(b: int) -> WindowSet:
+        rows = (sized if n == 1 else sized.filter(F.pmod(F.xxhash64("i", "t"), F.lit(n)) == b)).collect()
+        return WindowSet([r["i"] for r in rows], [r["t"] for r in rows], window)
+
+    return n, block
 
 
 def scan(docs: DataFrame, items: DataFrame, keep: list[str], text: str = "text", into: str = "found", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, max_bytes: int = MAX_SET_BYTES) -> DataFrame:
     """Columns `keep` of every document and a struct `into`: its words, the indexes of its hit words, the items, and the hit spans in code points."""
-    spark, blocks = docs.sparkSession, window_sets(items, item_id, item_text, window, max_bytes)
+    spark = docs.sparkSession
+    n, block = window_sets(items, item_id, item_text, window, max_bytes)
 
-    def against(rows: DataFrame, columns: list[str], windows: WindowSet, name: str, body: str) -> DataFrame:
-        shared = spark.sparkContext.broadcast(windows)
+    def against(rows: DataFrame, columns: list[str], shared, name: str, body: str) -> DataFrame:
         return add_struct(rows, columns, name, KIND, lambda _, buf, offs: _scan(buf, offs, shared.value), body)
 
-    if len(blocks) == 1:
-        return against(docs, keep, blocks[0], into, text)
+    if n == 1:
+        return against(docs, keep, spark.sparkContext.broadcast(block(0)), into, text)
     keyed = boxed(docs, keep, text=text).select("_box", "text", *row_key("text"))
-    once = against(keyed, ["_box", "_k1", "_k2"], WindowSet([], []), "_own", "text")
-    some = [against(keyed, ["_k1", "_k2"], w, "_own", "text").filter(F.size("_own.hit_words") > 0).dropDuplicates(["_k1", "_k2"]) for w in blocks]
+    some = []
+    for b in range(n):
+        shared = spark.sparkContext.broadcast(block(b))
+        hits = against(keyed, ["_k1", "_k2"], shared, "_own", "text").filter(F.size("_own.hit_words") > 0).dropDuplicates(["_k1", "_k2"])
+        some.append(written(hits, "decontaminate-hits"))
+        shared.unpersist()
     united = some[0]
     for more in some[1:]:
         united = united.unionByName(more)
     flat = lambda c: F.array_sort(F.array_distinct(F.flatten(F.collect_list(f"_own.{c}"))))
-    united = united.groupBy("_k1", "_k2").agg(flat("hit_words").alias("_h"), flat("items").alias("_i"), flat("spans").alias("_s"))
-    kept = F.struct(F.col("_own.n_words").alias("n_words"), F.coalesce("_h", "_own.hit_words").alias("hit_words"), F.coalesce("_i", "_own.items").alias("items"), F.coalesce("_s", "_own.spans").alias("spans"))
-    return opened(once.join(united, ["_k1", "_k2"], "left"), keep, kept.alias(into))
+    united = united.groupBy("_k1", "_k2").agg(flat("hit_words").alias("_h"), flat("items").alias("_i"))
+    united = written(united, "decontaminate-united")  # a plain shuffle on both sides of the join, which adaptive execution can split
+    marked = keyed.join(united, ["_k1", "_k2"], "left").select("_box", "_h", "_i", "text")
+    return opened(add_struct(marked, ["_box", "_h", "_i"], "_own", KIND, _united), keep, F.col("_own").alias(into))
 
 
 def without_documents(docs: DataFrame, items: DataFrame, text: str = "text") -> DataFrame:

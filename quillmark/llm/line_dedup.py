@@ -1,19 +1,19 @@
 """Substring dedup by hashed units of text (operator 2).
 
-Texts are split into units: lines, paragraphs, or (the default) lines cut at sentence ends. A unit is normalised (lower case, white-space runs as one space, ends
+Units are whole lines of any length and, inside the lines that stay, sentences of `least_words` words or more (`line_repeats`, the query's form); or any pieces that
+a separator cuts, lines, paragraphs or lines cut at sentence ends (`repeats`). A unit is normalised (lower case, white-space runs as one space, ends
 trimmed) and digested. Digests are grouped over all documents: the occurrence with the least rank (doc_id, nulls last, then row, then place) stays, the
-others go, with their offsets in code points of the original text. Units of under `least_words` words are left alone: chance repeats of a few words are not copies.
+others go, with their offsets in code points of the original text.
 
-Whole lines alone would miss a passage put into the middle of a line, which these data hold; its whole sentences are units here.
-
-`line_repeats` takes whole lines of any length and, inside the lines that stay, sentences of `least_words` words, where two letters of a script without spaces count
-as a word. A line's first occurrence holds the first of its sentences too, so one grouping serves both. The query of operator 2 and its SQL have the sentences alone.
+Whole lines alone would miss a passage put into the middle of a line, which these data hold: its whole sentences are units too. Shorter sentences inside a line that is
+itself unique repeat by chance and stay. Two letters of a script without spaces count as a word. A line's first occurrence holds the first of its sentences too, so one
+grouping serves both.
 
 Texts are split in one Arrow pass, which is written with row numbers; units carry digests and places, not text. Digests that occur once drop out before
 the join that marks removals; grouping combines map-side, so a line that a third of all rows share leaves one row in each task, and the join back is split where skewed.
 
-Defined cases: null and empty texts have no units and are returned as they are; of repeated rows (equal id and text) one keeps its units and the others lose them,
-in no stated order; an empty table gives an empty result; further columns do not matter.
+Defined cases: null and empty texts have no units and are returned as they are; texts of any length are split whole; of repeated rows (equal id and text) one keeps its units and
+the others lose them, in no stated order; an empty table gives an empty result; further columns do not matter.
 """
 
 from __future__ import annotations
@@ -27,7 +27,8 @@ from pyspark.sql import functions as F
 
 from quillmark.llm._tables import add_struct, boxed, documents, written
 
-LEAST_WORDS = 5
+#: Words of a sentence inside a line that stays; lines have no least length.
+LEAST_WORDS = 10
 #: What ends a unit; it stays with the unit, so that places add up and cuts leave no blank line behind.
 LINE, PARAGRAPH, SENTENCE = r"\n", r"\n\n+", r"\n|[.!?]\x20"
 SPACES = re.compile(r"[\x20\x09-\x0D]+")
@@ -80,7 +81,7 @@ def _split(units, names: tuple[str, ...]):
     return make
 
 
-def repeats(docs: DataFrame, keep: list[str], key: str = "doc_id", text: str = "text", separator: str = SENTENCE, least_words: int = LEAST_WORDS) -> DataFrame:
+def repeats(docs: DataFrame, keep: list[str], key: str = "doc_id", text: str = "text", separator: str = LINE, least_words: int = 1) -> DataFrame:
     """Columns `keep` and _removed of every row: the code-point ranges of units that occur earlier in rank, in order."""
     ends = re.compile(separator)
     return _marked(docs, keep, key, text, KIND, _split(lambda t: units_of(t, ends, least_words), ("start", "end", "digest")))
@@ -123,7 +124,7 @@ def without(text, spans):
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = repeats(documents(spark, sf_dir), ["doc_id", "text"])
+    found = line_repeats(documents(spark, sf_dir), ["doc_id", "text"])
     kept = F.coalesce(without(F.col("text"), F.col("_removed")), F.lit(""))
     spans = F.array_join(F.transform("_removed", lambda x: F.concat_ws(":", x["start"], x["end"])), ",")
     cut = F.aggregate("_removed", F.lit(0).cast("long"), lambda n, x: n + x["end"] - x["start"])
@@ -131,15 +132,24 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLE = r"""
-WITH d AS (SELECT row_number() OVER () AS k, doc_id, string_split(regexp_replace(coalesce(text, ''), '(\n|[.!?] )', '\1' || chr(1), 'g'), chr(1)) AS us FROM documents),
-l AS (SELECT k, doc_id, n, us[n] AS unit FROM (SELECT k, doc_id, us, unnest(range(1, len(us) + 1)) AS n FROM d)),
-p AS (SELECT k, doc_id, n, unit, (sum(length(unit)) OVER (PARTITION BY k ORDER BY n))::BIGINT AS e,
-             trim(regexp_replace(lower(unit), '[ \t-\r]+', ' ', 'g')) AS norm FROM l),
-u AS (SELECT *, e - length(unit) AS s, len(string_split(norm, ' ')) >= 5 AS enough FROM p),
-r AS (SELECT *, enough AND row_number() OVER (PARTITION BY enough, norm ORDER BY doc_id NULLS LAST, k, n) > 1 AS gone FROM u)
-SELECT doc_id, count(*) FILTER (gone)::BIGINT AS n_removed, coalesce(sum(e - s) FILTER (gone), 0)::BIGINT AS removed_chars,
-    coalesce(string_agg(s || ':' || e, ',' ORDER BY n) FILTER (gone), '') AS removed_spans,
-    coalesce(sum(e - s) FILTER (NOT gone), 0)::BIGINT AS kept_chars,
-    sha256(coalesce(string_agg(unit, '' ORDER BY n) FILTER (NOT gone), '')) AS kept_sha256
-FROM r GROUP BY k, doc_id
+WITH d AS (SELECT row_number() OVER () AS k, doc_id, coalesce(text, '') AS t FROM documents),
+l AS (SELECT k, doc_id, t, n, ls[n] AS line FROM (SELECT k, doc_id, t, ls, unnest(range(1, len(ls) + 1)) AS n FROM (SELECT *, string_split(t, chr(10)) AS ls FROM d))),
+p AS (SELECT *, trim(regexp_replace(lower(line), '[ \t-\r]+', ' ', 'g')) AS norm,
+             (sum(length(line) + 1) OVER (PARTITION BY k ORDER BY n) - length(line) - 1)::BIGINT AS s FROM l),
+whole AS (SELECT *, least(s + length(line) + 1, length(t))::BIGINT AS e FROM p WHERE norm <> ''),
+cut AS (SELECT k, doc_id, s AS line_at, e AS line_end, norm AS line_norm, i, ps[i] AS piece, len(ps) AS m
+        FROM (SELECT *, unnest(range(1, len(ps) + 1)) AS i FROM (SELECT *, string_split(regexp_replace(line, '([.!?] |[\x{3002}\x{FF01}\x{FF1F}])', '\1' || chr(1), 'g'), chr(1)) AS ps FROM whole))),
+piece AS (SELECT *, trim(regexp_replace(lower(piece), '[ \t-\r]+', ' ', 'g')) AS norm, (line_at + sum(length(piece)) OVER (PARTITION BY k, line_at ORDER BY i) - length(piece))::BIGINT AS s FROM cut),
+inner_units AS (SELECT k, doc_id, line_at, s, CASE WHEN i = m THEN line_end ELSE s + length(piece) END AS e, norm FROM piece
+    WHERE norm <> '' AND norm <> line_norm AND len(string_split(norm, ' ')) + (length(norm) - length(regexp_replace(norm,
+        '[\x{0E00}-\x{0EFF}\x{1000}-\x{109F}\x{1780}-\x{17FF}\x{3040}-\x{30FF}\x{3400}-\x{4DBF}\x{4E00}-\x{9FFF}\x{F900}-\x{FAFF}\x{20000}-\x{3FFFF}]', '', 'g'))) // 2 >= 10),
+u AS (SELECT k, doc_id, s AS line_at, true AS is_line, s, e, norm FROM whole UNION ALL SELECT k, doc_id, line_at, false, s, e, norm FROM inner_units),
+late AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY norm ORDER BY doc_id NULLS LAST, k, s) AS nth FROM u) WHERE nth > 1),
+gone AS (SELECT k, s, e FROM (SELECT *, bool_or(is_line) OVER (PARTITION BY k, line_at) AS with_line FROM late) WHERE is_line = with_line),
+around AS (SELECT k, s, e, lag(e, 1, 0) OVER (PARTITION BY k ORDER BY s) AS before FROM gone),
+sums AS (SELECT k, count(*) AS n, sum(e - s) AS chars, max(e) AS last, string_agg(s || ':' || e, ',' ORDER BY s) AS spans,
+                string_agg(substr(t, before + 1, s - before), '' ORDER BY s) AS pieces FROM around JOIN d USING (k) GROUP BY k)
+SELECT doc_id, coalesce(n, 0)::BIGINT AS n_removed, coalesce(chars, 0)::BIGINT AS removed_chars, coalesce(spans, '') AS removed_spans,
+    (length(t) - coalesce(chars, 0))::BIGINT AS kept_chars, sha256(coalesce(pieces, '') || substr(t, coalesce(last, 0) + 1)) AS kept_sha256
+FROM d LEFT JOIN sums USING (k)
 """

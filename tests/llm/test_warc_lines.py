@@ -102,7 +102,7 @@ def test_damage_is_noticed():
         warc.directory(io.BytesIO(b"PK\5\6" + b"\xff" * 18), 22)
 
 
-def brute_lines(rows, ends, least=line_dedup.LEAST_WORDS):
+def brute_lines(rows, ends, least=1):
     import re
 
     ranked = sorted(range(len(rows)), key=lambda i: (rows[i][0] is None, rows[i][0] or 0))
@@ -139,7 +139,7 @@ def test_paragraphs(spark):
 def test_passages_inside_lines(spark):
     passage = "One two three four five six. Seven eight nine ten eleven twelve! Thirteen fourteen fifteen sixteen seventeen"
     df = spark.createDataFrame([(1, f"start of it {passage} end."), (2, f"Another {passage} here"), (3, "clean text of its own. Nothing shared at all here.")], "doc_id bigint, text string")
-    rows = {r.doc_id: [r.text[s.start : s.end] for s in r._removed] for r in line_dedup.repeats(df, ["doc_id", "text"]).collect()}
+    rows = {r.doc_id: [r.text[s.start : s.end] for s in r._removed] for r in line_dedup.repeats(df, ["doc_id", "text"], separator=line_dedup.SENTENCE).collect()}
     assert rows == {1: [], 2: ["Seven eight nine ten eleven twelve! "], 3: []}
 
 
@@ -151,7 +151,7 @@ def test_whole_lines_and_sentences_inside_them(spark, docs, awkward, no_docs):
         (3, "A new start. Seven eight nine ten eleven twelve! Then more.\nA new start. Seven eight nine ten eleven twelve! Then more."),
     ]
     df = spark.createDataFrame(texts, "doc_id bigint, text string").repartition(2)
-    rows = {r.doc_id: [r.text[s.start : s.end] for s in r._removed] for r in line_dedup.line_repeats(df, ["doc_id", "text"]).collect()}
+    rows = {r.doc_id: [r.text[s.start : s.end] for s in r._removed] for r in line_dedup.line_repeats(df, ["doc_id", "text"], least_words=5).collect()}
     assert rows[1] == []
     assert rows[2] == ["ALL  rights reserved.\n", "Accept all. Learn more. Close now.\n", "Seven eight nine ten eleven twelve! ", "今日は良い天気です\n", "我们明天早上一起去公园散步吧。"]
     assert rows[3] == ["Seven eight nine ten eleven twelve! ", "A new start. Seven eight nine ten eleven twelve! Then more."]

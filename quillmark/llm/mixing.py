@@ -1,21 +1,23 @@
 """Mixing sources to target weights (operator 1).
 
 Each source's words, document after document in a hashed order, are packed into blocks of `block` words. Output shards of
-`shard` slots draw how many slots each source gets: a multinomial draw over what the sources' targets still lack, so that
-the totals meet the targets within one and a half blocks. A source's j-th slot goes through a pseudorandom permutation of its block indexes (a Feistel
-network with cycle walking, another one for each pass over the source) and blocks join the slots by that index.
+`shard` slots draw how many slots each source gets: multinomial draws over what the sources' targets still lack, so that
+the totals meet the targets within one and a half blocks. The draws go down a tree over the shards: a node's counts are drawn for its left half, the rest goes
+right, each node with a seed of its own, so that a task draws the shards of its range alone and the driver none. A source's j-th slot goes through a pseudorandom
+permutation of its block indexes (a Feistel network with cycle walking, another one for each pass over the source) and blocks join the slots by that index.
 
-Word offsets come from two levels of prefix sums: documents fall into hashed buckets of a source, sums run inside a bucket, and the
-buckets' totals, at most BUCKETS for a source, run inside the source. No source, however hot, is sorted in one task. Slots are a range split
-over tasks; the driver holds a row for each source and a row of counts for each shard and source, not documents.
+Word offsets come from two levels of prefix sums: documents fall into ranges of their hash, sums run inside a source's range, and the
+ranges' totals run inside the source. There are about as many ranges as a range has documents, the square root of the table's rows; their number changes no result.
+No source, however hot, is sorted in one task. The driver holds a row for each source, not documents or shards.
 
 Defined cases: a null text has no words and is in the result with nothing taken, as is every document without words; a null source is a
-source of its own, ranked last; repeated rows are documents of their own; null ids are kept; a source without words gets target 0; an empty
-table gives an empty result.
+source of its own, ranked last; repeated rows are documents of their own, equal in order and so interchangeable; null ids are kept; texts of any length are cut into as many blocks as
+they fill; a source without words gets target 0; further columns do not matter; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -27,8 +29,8 @@ from quillmark.llm._blocks import mix as mix64
 from quillmark.llm._tables import documents, row_key, written
 
 WORD = r"[^\x20\x09-\x0D]+"
-BUCKETS = 1024
-SHARDS = 4096
+#: Shards of a task.
+TASK_SHARDS = 16
 PIECE = 1 << 16
 
 
@@ -40,7 +42,7 @@ class Mix:
     #: Words of the output as a share of all words.
     share: float = 1.0
     block: int = 64
-    #: Slots of an output shard, or more where there would be over SHARDS.
+    #: Slots of an output shard.
     shard: int = 8192
     seed: int = 20240229
 
@@ -63,24 +65,39 @@ def targets(sizes: list[int], mix: Mix) -> list[float]:
     return out
 
 
-def draw_shards(slots: np.ndarray, mix: Mix) -> np.ndarray:
-    """How many slots of each source each shard holds: multinomial draws over the slots that are left; rows are shards."""
-    left, rng, rows = slots.astype(np.int64).copy(), np.random.default_rng(mix.seed), []
-    size = max(mix.shard, -(-int(left.sum()) // SHARDS))
-    while (rest := int(left.sum())) > 0:
-        want, got = min(size, rest), np.zeros(len(left), np.int64)
-        while want:
-            drawn = np.minimum(rng.multinomial(want, left / left.sum()), left)
-            got, left, want = got + drawn, left - drawn, want - int(drawn.sum())
-        rows.append(got)
-    return np.array(rows, np.int64).reshape(len(rows), len(slots))
+def _left_half(counts: np.ndarray, want: int, mix: Mix, first: int, last: int) -> np.ndarray:
+    """A multinomial draw of `want` slots out of counts, what exceeds a source drawn again from the others."""
+    rng, left, got = np.random.default_rng((mix.seed, first, last)), counts.copy(), np.zeros_like(counts)
+    while want:
+        drawn = np.minimum(rng.multinomial(want, left / left.sum()), left)
+        got, left, want = got + drawn, left - drawn, want - int(drawn.sum())
+    return got
+
+
+def draw_shards(slots: np.ndarray, mix: Mix, start: int = 0, stop: int | None = None) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(shard, each source's slots before it, its slots of each source) for the shards from start up to stop."""
+    total = int(slots.sum())
+    n = -(-total // mix.shard)
+    stop = n if stop is None else min(stop, n)
+    todo = [(0, n, np.zeros(len(slots), np.int64), slots.astype(np.int64))]
+    while todo:
+        first, last, before, counts = todo.pop()
+        if first >= stop or last <= start or first >= last:
+            continue
+        if last - first == 1:
+            yield first, before, counts
+            continue
+        middle = (first + last) // 2
+        left = _left_half(counts, (middle - first) * mix.shard, mix, first, last)
+        todo += [(middle, last, before + left, counts - left), (first, middle, before, left)]
 
 
 def _blocks(docs: DataFrame, mix: Mix) -> DataFrame:
-    """Documents with their source's rank and size and their first word's place in the source, written once."""
-    spark = docs.sparkSession
+    """Documents with their source and size and their first word's place in the source, written once."""
     own = docs.select(F.col("doc_id"), F.col("source").alias("_source"), F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"), *row_key("doc_id", "text"))
-    own = written(own.withColumn("_bucket", F.pmod("_k1", F.lit(BUCKETS)).cast("int")), "mix-documents")
+    own = written(own, "mix-documents")
+    bits = max(1, (own.count().bit_length() + 1) // 2)
+    own = own.withColumn("_bucket", F.shiftright("_k1", 64 - bits))  # ranges of the hash in its order
     totals = own.groupBy("_source", "_bucket").agg(F.sum("size").alias("_words"))
     by_bucket = Window.partitionBy("_source").orderBy("_bucket")
     starts = totals.select("_source", "_bucket", (F.sum("_words").over(by_bucket) - F.col("_words")).alias("_start"))
@@ -111,37 +128,43 @@ def permuted(index: np.ndarray, n: int, key: int) -> np.ndarray:
 
 
 def slots(spark: SparkSession, sizes: list[int], aims: list[float], mix: Mix) -> DataFrame:
-    """One row for each slot of the output: shard, slot, source's rank, pass and block index."""
+    """One row for each slot of the output: shard, source's rank, the slot's number in the source, pass and block index."""
     blocks = np.array([-(-s // mix.block) for s in sizes], np.int64)
     passes = np.array([int(a // s) if s else 0 for a, s in zip(aims, sizes, strict=True)], np.int64)
     extra = np.array([round((a - p * s) / mix.block) for a, p, s in zip(aims, passes, sizes, strict=True)], np.int64)
     wanted = passes * blocks + np.minimum(extra, blocks)
-    counts = draw_shards(wanted, mix)
-    before = np.cumsum(counts, 0) - counts
-    rows = [(int(k), int(s), int(before[k, s]), int(counts[k, s]), int(blocks[s])) for k, s in zip(*np.nonzero(counts), strict=True)]
-    drawn = spark.createDataFrame(rows, "shard int, rank int, before bigint, slots bigint, blocks bigint")
-    if rows:
-        drawn = drawn.repartition(min(len(rows), 8 + len(rows) // 64), "shard", "rank")
-    seed = mix.seed
+    n = -(-int(wanted.sum()) // mix.shard)
 
     def run(batches):
         for batch in batches:
-            for r in batch.to_pylist():
-                n, stop = r["blocks"], r["before"] + r["slots"]
-                for first in range(r["before"], stop, PIECE):
-                    j = np.arange(first, min(first + PIECE, stop))
-                    turn, place = j // n, np.empty(len(j), np.int64)
-                    for t in np.unique(turn).tolist():
-                        here = turn == t
-                        place[here] = permuted(j[here] % n, n, (seed * 1_000_003 + r["rank"]) * 1_009 + t)
-                    full = lambda v: np.full(len(j), r[v], np.int32)  # noqa: E731, B023
-                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (full("shard"), full("rank"), j, turn.astype(np.int32), place)], ["shard", "rank", "j", "pass", "block"])
-
-    return drawn.mapInArrow(run, "shard int, rank int, j bigint, pass int, block bigint")
-
-
-def mixed(docs: DataFrame, mix: Mix = Mix()) -> tuple[DataFrame, DataFrame]:
-    """(documents with sizes and targets, pieces of the output). A piece is a document's share of a block with the times it is taken."""
+            for task in batch.column(0).to_pylist():
+                for shard, before, counts in draw_shards(wanted, mix, task * TASK_SHARDS, (task + 1) * TASK_SHARDS):
+                    for rank in np.flatnonzero(counts).tolist():
+                        of, stop = int(blocks[rank]), int(before[rank] + counts[rank])
+                        for first in range(int(before[rank]), stop, PIECE):
+                            j = np.arange(first, min(first + PIECE, stop))
+                            turn, place = j // of, np.empty(len(j), np.int64)
+                            for t in np.unique(turn).tolist():
+                                here = turn == t
+                                place[here] = permuted(j[here] % of, of, (mix.seed * 1_000_003 + rank) * 1_009 + t)
+                            full = lambda v, kind: np.full(len(j), v, kind)  # noqa: E731, B023
+                            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (full(shard, np.int64), full(rank, np.int32), j, turn.astype(np.int32), place)], ["shard", "rank", "j", "pass", "block"])
+
+    tasks = -(-n // TASK_SHARDS)
+    return spark.range(0, tasks, 1, max(1, min(tasks, 1 << 16))).mapInArrow(run, "shard bigint, rank int, j bigint, pass int, block bigint")
+
+
+@dataclass
+class Mixed:
+    #: rank, doc_id, size, source_size, target, _k1, _k2 and _from (the first word's place in the source) of every document.
+    documents: DataFrame
+    #: A document's share of a block: rank, block, doc_id, _from, first_word, words and times, how often the block is taken.
+    pieces: DataFrame
+    #: The slots of the output.
+    plan: DataFrame
+
+
+def mixed(docs: DataFrame, mix: Mix = Mix()) -> Mixed:
     spark = docs.sparkSession
     placed = written(_blocks(docs, mix), "mix-placed")
     found = sorted(((r["_source"], r["n"]) for r in placed.groupBy("_source").agg(F.sum("size").alias("n")).collect()), key=lambda x: (x[0] is None, x[0] or ""))
@@ -149,36 +172,48 @@ def mixed(docs: DataFrame, mix: Mix = Mix()) -> tuple[DataFrame, DataFrame]:
     aims = targets(sizes, mix)
     ranks = spark.createDataFrame([(i, s, n, float(a)) for i, ((s, n), a) in enumerate(zip(found, aims, strict=True))], "rank int, _s string, source_size bigint, target double")
     ranked = placed.join(ranks, F.col("_source").cast("string").eqNullSafe(F.col("_s")))
-    taken = slots(spark, sizes, aims, mix).groupBy("rank", "block").agg(F.count(F.lit(1)).alias("times"))
+    plan = slots(spark, sizes, aims, mix)
+    taken = plan.groupBy("rank", "block").agg(F.count(F.lit(1)).alias("times"))
     last = F.col("_from") + F.col("size") - 1
-    spread = ranked.filter("size > 0").select("rank", "_k1", "_k2", "doc_id", "_from", "size", F.explode(F.sequence(F.floor(F.col("_from") / mix.block), F.floor(last / mix.block))).alias("block"))
+    spread = ranked.filter("size > 0").select("rank", "doc_id", "_from", "size", F.explode(F.sequence(F.floor(F.col("_from") / mix.block), F.floor(last / mix.block))).alias("block"))
     start = F.greatest(F.col("_from"), F.col("block") * mix.block)
-    # Sizes of tables that Python makes are guessed from what it reads, here a few rows for each shard: by merge, never broadcast.
+    # Sizes of tables that Python makes are guessed from what it reads, here a row for each task: by merge, never broadcast.
     pieces = spread.join(taken.hint("merge"), ["rank", "block"]).select(
         "rank", "block", "doc_id", "_from", "times", (start - F.col("_from")).alias("first_word"), (F.least(F.col("_from") + F.col("size"), (F.col("block") + 1) * mix.block) - start).alias("words")
     )
-    return ranked, pieces
+    return Mixed(ranked, pieces, plan)
+
+
+def takes_of(made: Mixed) -> DataFrame:
+    sums = made.pieces.groupBy(F.col("rank").alias("_r"), F.col("_from").alias("_f")).agg(F.sum(F.col("times") * F.col("words")).alias("_taken"))
+    here = (F.col("rank") == F.col("_r")) & (F.col("_from") == F.col("_f")) & (F.col("size") > 0)
+    return made.documents.join(sums.hint("merge"), here, "left").select("doc_id", "size", "source_size", "target", F.coalesce("_taken", F.lit(0)).cast("long").alias("taken"))
 
 
 def takes(docs: DataFrame, mix: Mix = Mix()) -> DataFrame:
     """doc_id, size, source_size, target and words taken of every document."""
-    ranked, pieces = mixed(docs, mix)
-    sums = pieces.groupBy(F.col("rank").alias("_r"), F.col("_from").alias("_f")).agg(F.sum(F.col("times") * F.col("words")).alias("_taken"))
-    here = (F.col("rank") == F.col("_r")) & (F.col("_from") == F.col("_f")) & (F.col("size") > 0)
-    return ranked.join(sums.hint("merge"), here, "left").select("doc_id", "size", "source_size", "target", F.coalesce("_taken", F.lit(0)).cast("long").alias("taken"))
+    return takes_of(mixed(docs, mix))
 
 
-def output_blocks(docs: DataFrame, mix: Mix = Mix()) -> DataFrame:
+def blocks_of(docs: DataFrame, made: Mixed, mix: Mix = Mix()) -> DataFrame:
     """The mix itself: shard, slot, source's rank and text of every block, its words joined by spaces."""
-    ranked, pieces = mixed(docs, mix)
-    spark = docs.sparkSession
-    sizes_aims = ranked.select("rank", "source_size", "target").distinct().orderBy("rank").collect()
-    plan = slots(spark, [r["source_size"] for r in sizes_aims], [r["target"] for r in sizes_aims], mix)
-    texts = docs.select(F.regexp_extract_all("text", F.lit(f"({WORD})")).alias("_words"), *row_key("doc_id", "text")).dropDuplicates(["_k1", "_k2"])
-    keyed = ranked.select("rank", "_from", "_k1", "_k2").join(texts, ["_k1", "_k2"])
-    here = pieces.join(keyed, ["rank", "_from"]).select("rank", "block", "_from", F.array_join(F.slice("_words", F.col("first_word").cast("int") + 1, F.col("words").cast("int")), " ").alias("piece"))
-    whole = here.groupBy("rank", "block").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_from", "piece"))), lambda x: x["piece"]), " ").alias("text"))
-    return plan.join(whole.hint("merge"), ["rank", "block"]).select("shard", "rank", "pass", F.col("j").alias("slot"), "block", "text")
+    texts = docs.select(F.col("text").alias("_text"), *row_key("doc_id", "text")).dropDuplicates(["_k1", "_k2"])
+    # Documents without words share their place with the next one.
+    keyed = made.documents.filter("size > 0").select("rank", "_from", "size", "_k1", "_k2").join(texts, ["_k1", "_k2"])
+    upto = F.col("_from") + F.col("size")
+    begin = lambda b: F.greatest(F.col("_from"), b * mix.block) - F.col("_from")
+    length = lambda b: F.least(upto, (b + 1) * mix.block) - F.greatest(F.col("_from"), b * mix.block)
+    blocks = F.sequence(F.floor(F.col("_from") / mix.block), F.floor((upto - 1) / mix.block))
+    cut = lambda ws: F.transform(blocks, lambda b: F.struct(b.alias("block"), F.array_join(F.slice(ws, (begin(b) + 1).cast("int"), length(b).cast("int")), " ").alias("piece")))
+    # The outer lambda's variable holds the words: the optimizer would otherwise copy the extraction into each block.
+    cuts = F.element_at(F.transform(F.array(F.regexp_extract_all("_text", F.lit(f"({WORD})"))), cut), 1)
+    each = keyed.select("rank", "_from", F.explode(cuts).alias("c")).select("rank", "_from", "c.block", "c.piece")
+    whole = each.groupBy("rank", "block").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_from", "piece"))), lambda x: x["piece"]), " ").alias("text"))
+    return made.plan.join(whole.hint("merge"), ["rank", "block"]).select("shard", "rank", "pass", F.col("j").alias("slot"), "block", "text")
+
+
+def output_blocks(docs: DataFrame, mix: Mix = Mix()) -> DataFrame:
+    return blocks_of(docs, mixed(docs, mix), mix)
 
 
 def op1_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -27,8 +27,51 @@ def test_permutations_are_permutations(n):
 
 
 def test_shards_meet_the_totals():
-    drawn = mixing.draw_shards(np.array([5, 0, 70, 1000]), mixing.Mix(shard=64))
-    assert drawn.sum(0).tolist() == [5, 0, 70, 1000] and (drawn.sum(1)[:-1] == 64).all()
+    mix = mixing.Mix(shard=64)
+    rows = list(mixing.draw_shards(np.array([5, 0, 70, 1000]), mix))
+    drawn = np.array([c for _, _, c in rows])
+    assert [k for k, _, _ in rows] == list(range(17)) and drawn.sum(0).tolist() == [5, 0, 70, 1000] and (drawn.sum(1)[:-1] == 64).all()
+    assert (np.array([b for _, b, _ in rows]) == np.cumsum(drawn, 0) - drawn).all() and len({tuple(c) for c in drawn.tolist()}) > 5
+    some = list(mixing.draw_shards(np.array([5, 0, 70, 1000]), mix, 3, 9))
+    assert repr(some) == repr(rows[3:9]) and not list(mixing.draw_shards(np.zeros(3, np.int64), mix))
+
+
+def brute_mix(rows, order, mix, plan):
+    """(words taken of each row, text of each (rank, block)) by prefix sums and slots in plain Python. order: of the rows in their source."""
+    words = [re.findall(r"[^\x20\x09-\x0D]+", r[1] or "") for r in rows]
+    names = sorted({r[3] for r in rows}, key=lambda s: (s is None, s or ""))
+    taken, texts = [0] * len(rows), {}
+    for rank, name in enumerate(names):
+        stream = [(i, w) for i in order if rows[i][3] == name for w in words[i]]
+        for b in range(-(-len(stream) // mix.block)):
+            part = stream[b * mix.block : (b + 1) * mix.block]
+            texts[rank, b] = " ".join(w for _, w in part)
+            for i, _ in part:
+                taken[i] += plan.get((rank, b), 0)
+    return taken, texts
+
+
+def test_mix_equals_brute_force(spark, no_docs):
+    import random
+    from collections import Counter
+
+    rnd, mix = random.Random(4), mixing.Mix(block=7, shard=16)
+    texts = [" ".join(f"w{rnd.randint(0, 99)}" for _ in range(rnd.randint(1, 40))) + rnd.choice(["", " ", "\n"]) for _ in range(40)] + [rnd.choice([None, "", " \n "]) for _ in range(60)]
+    rnd.shuffle(texts)
+    rows = [(i, t, "en", rnd.choice(["a", "b", "c", "c", "c", None]), 0) for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint").repartition(3)
+    hashes = {r.doc_id: (r._k1, r._k2) for r in df.select("doc_id", *mixing.row_key("doc_id", "text")).collect()}
+    blocks = mixing.output_blocks(df, mix).collect()
+    plan = Counter((b["rank"], b.block) for b in blocks)
+    assert sorted(Counter(b.shard for b in blocks).values())[1:] == [16] * (len({b.shard for b in blocks}) - 1)
+    assert len({(b["rank"], b.slot) for b in blocks}) == len(blocks)  # every slot once
+    for b in blocks:
+        n = max(x.block for x in blocks if x["rank"] == b["rank"])
+        assert plan[b["rank"], b.block] <= 3 and b["pass"] == b.slot // max(1, -(-sum(size_of(r[1]) for r in rows if r[3] == [*sorted({x[3] for x in rows if x[3]}), None][b["rank"]]) // 7)) and n >= b.block
+    taken, want = brute_mix(rows, sorted(range(len(rows)), key=lambda i: hashes[i]), mix, plan)
+    assert all(b.text == want[b["rank"], b.block] for b in blocks)
+    assert {r.doc_id: r.taken for r in mixing.takes(df, mix).collect()} == dict(enumerate(taken))
+    assert mixing.output_blocks(no_docs, mix).count() == 0
 
 
 def test_mix_takes_near_target_and_agrees_with_its_blocks(docs, awkward, no_docs):

@@ -1,6 +1,10 @@
 """Corpus pipeline: quality rules, near-dedup, benchmark decontamination, personal data, mixing.
 
 Each stage takes (spark, docs, sf_dir); its result is written as Parquet in the shared folder and read as the next one's docs.
+
+Defined cases: a document with a null or empty text has under ten words and goes in the first stage; repeated rows are copies, of which the second stage keeps one; a null id
+ranks last among copies and is kept otherwise; a null source is a source of its own in the mix; texts of any length are read whole; of ties (equal least ids) the row read
+first stays; further columns, whatever their names, reach the last stage unchanged; an empty table gives an empty result, and an empty benchmark removes nothing.
 """
 
 from __future__ import annotations
@@ -34,10 +38,13 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Words that the mix takes of each document, towards its source's target."""
-    return mixing.takes(docs)
+    """Writes the mix's blocks of text to a table of the shared folder, whose name begins with MIXED; words that the mix takes of each document, towards its source's target."""
+    made = mixing.mixed(docs)
+    written(mixing.blocks_of(docs, made), MIXED)
+    return mixing.takes_of(made)
 
 
+MIXED = "mixed-blocks"
 STAGES = [
     ("quality rules", quality_rules),
     ("MinHash near-dedup", near_dedup_stage),

@@ -14,7 +14,7 @@ place; strings that could be equal are brought together first:
 
 Texts are shuffled twice, compressed; besides them, a row for each segment.
 
-Defined cases: a null text is empty, keeps nothing and loses nothing; texts under LENGTH bytes are kept whole; equal texts of LENGTH bytes or more lose every byte, each row of them; null ids are kept;
+Defined cases: a null text is empty, keeps nothing and loses nothing; texts under LENGTH bytes are kept whole; longer ones, of any length, are anchored in chunks that overlap by a window; equal texts of LENGTH bytes or more lose every byte, each row of them; null ids are kept;
 an empty table gives an empty result; further columns do not matter; bytes are judged on the input, also inside a code point.
 """
 
@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillmark.llm import _blocks as B
-from quillmark.llm._tables import documents, written
+from quillmark.llm._tables import documents, removed, written
 
 LENGTH = 400
 K = 64
@@ -344,7 +344,7 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def window_starts(texts: DataFrame) -> DataFrame:
     """key and sorted ranges of the starts of repeated windows, for texts that have any. texts: key, text; equal keys are equal texts."""
-    found = written(texts.mapInArrow(_segments, ANCHORS), "suffix-anchors")
+    anchored = found = written(texts.mapInArrow(_segments, ANCHORS), "suffix-anchors")
     twice = found.groupBy(F.col("v").alias("_v")).agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select("_v")
     twice = written(twice, "suffix-twice")  # a plain shuffle on both sides of the join, which adaptive execution can split
     some = found.join(twice, F.col("v") == F.col("_v")).groupBy("v", "seg", "key", "lo", "len").agg(F.count(F.lit(1)).alias("n"))
@@ -358,11 +358,16 @@ def window_starts(texts: DataFrame) -> DataFrame:
     bodies = written(packed.join(refs, F.col("key") == F.col("_key")).select("key", "packed", "refs").mapInArrow(_bodies, SEGMENT), "suffix-bodies")
     once = bodies.groupBy("grp", "mark").agg(F.sum("n").alias("n"), F.max("body").alias("body"))
     judged = once.repartition("grp").sortWithinPartitions("grp").mapInArrow(_sorted_groups, "grp bigint, mark bigint, ranges array<struct<s:int,e:int>>")
-    judged = written(judged, "suffix-windows").select(F.col("grp").alias("_g"), F.col("mark").alias("_m"), "ranges")
+    windows = written(judged, "suffix-windows")
+    judged = windows.select(F.col("grp").alias("_g"), F.col("mark").alias("_m"), "ranges")
     found = bodies.select("grp", "mark", F.col("v").alias("_v"), F.col("seg").alias("_s"), "at").join(judged, (F.col("grp") == F.col("_g")) & (F.col("mark") == F.col("_m"))).select("_v", "_s", "at", "ranges")
-    starts = some.select("v", "seg", "key", "lo").join(written(found, "suffix-found"), (F.col("v") == F.col("_v")) & (F.col("seg") == F.col("_s"))).select("key", (F.col("lo") + F.col("at")).alias("lo"), F.explode("ranges").alias("r"))
+    held = written(found, "suffix-found")
+    starts = some.select("v", "seg", "key", "lo").join(held, (F.col("v") == F.col("_v")) & (F.col("seg") == F.col("_s"))).select("key", (F.col("lo") + F.col("at")).alias("lo"), F.explode("ranges").alias("r"))
     starts = starts.groupBy("key").agg(F.sort_array(F.collect_list(F.struct((F.col("lo") + F.col("r.s")).alias("s"), (F.col("lo") + F.col("r.e")).alias("e")))).alias("starts"))
-    return written(starts, "suffix-starts")  # a plain shuffle on both sides of the join that follows, which adaptive execution can split
+    starts = written(starts, "suffix-starts")  # a plain shuffle on both sides of the join that follows, which adaptive execution can split
+    for table in (anchored, twice, some, sizes, bodies, windows, held):
+        removed(table)
+    return starts
 
 
 def repeats(docs: DataFrame, keep: list[str], text: str = "text") -> DataFrame:

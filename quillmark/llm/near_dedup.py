@@ -16,8 +16,8 @@ frequencies of whole shingles would need a shuffle of several times the input, a
 Nothing about documents comes to the driver but counts. A class of copies, however large, is one node until the end, where classes are joined to documents by
 text key; adaptive execution splits the copies of a hot key.
 
-Defined cases: a null text counts as empty; equal texts are always one class, texts without words have no other partner; repeated rows are copies; the class id is the least doc_id of the class, null if it
-has none; an empty table gives an empty result; further columns do not matter.
+Defined cases: a null text counts as empty; equal texts are always one class, texts without words have no other partner; texts of any length are shingled whole; repeated rows are copies; the class id
+is the least doc_id of the class, null if it has none; pairs of exactly 0.8 are linked; an empty table gives an empty result; further columns do not matter.
 """
 
 from __future__ import annotations
@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillmark.llm import _blocks as B
-from quillmark.llm._tables import documents, unused, written
+from quillmark.llm._tables import documents, removed, unused, written
 from quillmark.llm.components import components
 
 SHINGLE = 5
@@ -298,8 +298,8 @@ def _unpacked(batches):
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([unpack(x).decode() for x in part.column(2).to_pylist()], pa.string())], ["group", "key", "text"])
 
 
-def _groups(texts: DataFrame, groups: DataFrame) -> DataFrame:
-    """group, pair, side, key and text of every task's rows. A group of m blocks makes m (m + 1) / 2 pairs of blocks."""
+def _groups(texts: DataFrame, groups: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
+    """group, pair, side, key and text of every task's rows, and the tables that they read. A group of m blocks makes m (m + 1) / 2 pairs of blocks."""
     members = groups.select(F.col("node").alias("_key"), F.col("component").alias("group")).union(groups.select("component", "component").distinct())
     # By merge at every size: whether the members would fit a broadcast depends on the data, and a plan that changes with them needs more beyond.
     joined = texts.select("key", "text").mapInArrow(_packed, "key binary, packed binary").join(members.hint("merge"), F.col("key") == F.col("_key"))
@@ -313,7 +313,7 @@ def _groups(texts: DataFrame, groups: DataFrame) -> DataFrame:
         F.sequence(F.lit(0), F.col("m") - 1),
         lambda j: F.struct((F.least("block", j) * F.col("m") + F.greatest("block", j)).alias("pair"), F.when(F.col("block") > j, 1).otherwise(0).alias("side")),
     )
-    return dealt.select("group", F.explode(pairs).alias("p"), "key", "text").select("group", "p.pair", "p.side", "key", "text")
+    return dealt.select("group", F.explode(pairs).alias("p"), "key", "text").select("group", "p.pair", "p.side", "key", "text"), [joined, sizes]
 
 
 def classes(texts: DataFrame) -> DataFrame:
@@ -324,14 +324,18 @@ def classes(texts: DataFrame) -> DataFrame:
     once = written(sketched.groupBy("key").agg(F.first("sketch").alias("sketch"), F.first("bands").alias("bands")), "near-texts")
     banded = once.select("key", F.explode(F.array_distinct("bands")).alias("band"))
     shared = banded.groupBy(F.col("band").alias("_band")).agg(F.count(F.lit(1)).alias("_n"), F.min("key").alias("_least")).filter("_n > 1")
-    buckets = written(banded.join(written(shared, "near-bands"), F.col("band") == F.col("_band")).select("band", "key", "_n", "_least"), "near-buckets")
+    shared = written(shared, "near-bands")
+    buckets = written(banded.join(shared, F.col("band") == F.col("_band")).select("band", "key", "_n", "_least"), "near-buckets")
     small = buckets.filter(F.col("_n") <= BUCKET).select("band", "key").join(once.select(F.col("key").alias("_key"), "sketch"), F.col("key") == F.col("_key")).select("band", "key", "sketch")
     stars = small.repartition("band").sortWithinPartitions("band").mapInArrow(_stars, "a binary, b binary")
     # A larger bucket is one star, which needs no task to hold it.
     stars = stars.unionByName(buckets.filter(F.col("_n") > BUCKET).select(F.col("_least").alias("a"), F.col("key").alias("b")))
     groups = components(stars, "near-stars")
-    links = _groups(texts, groups).repartition("group", "pair").sortWithinPartitions("group", "pair").mapInArrow(_verified(idf), "a binary, b binary")
-    return components(links, "near-links")
+    dealt, read = _groups(texts, groups)
+    found = components(dealt.repartition("group", "pair").sortWithinPartitions("group", "pair").mapInArrow(_verified(idf), "a binary, b binary"), "near-links")
+    for table in (sketched, once, shared, buckets, groups, *read):
+        removed(table)
+    return found
 
 
 def _keyed(docs: DataFrame, text: str) -> tuple:

@@ -4,6 +4,8 @@ import random
 from collections import Counter, defaultdict
 
 import numpy as np
+from pathlib import Path
+
 import pytest
 
 from quillmark.llm import near_dedup, suffix_dedup
@@ -171,3 +173,21 @@ def test_components_of_paths_stars_and_loops(spark):
     got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()}
     assert got == {i: c for i in range(n) if (c := near_dedup._find(parent, i)) != i}
     assert components(spark.createDataFrame([], "a bigint, b bigint")).count() == 0
+
+
+@pytest.mark.skipif(not Path("/root/testdata/sf0.01").exists(), reason="the driver's tables are not here")
+def test_classes_of_the_tables_equal_all_pairs(spark):
+    """Recall on data: the classes of all pairs of different texts, compared exactly."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    texts = {}
+    for r in docs.select("doc_id", "text").collect():
+        texts.setdefault(r.text or "", []).append(r.doc_id)
+    data, ids = [t.encode() for t in texts], list(texts.values())
+    idf = near_dedup.inverse_frequencies(near_dedup.document_frequencies(docs.select("text")))
+    parent = list(range(len(data)))
+    for i, j in near_dedup.similar_links(data, idf):
+        parent[near_dedup._find(parent, i)] = near_dedup._find(parent, j)
+    groups = {}
+    for k, own in enumerate(ids):
+        groups.setdefault(near_dedup._find(parent, k), []).extend(own)
+    assert {r.doc_id: r.class_id for r in near_dedup.near_duplicates(docs).collect()} == {x: min(g) for g in groups.values() for x in g}

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillmark.llm._blocks import mix as mix64
-from quillmark.llm._tables import documents, row_key, written
+from quillmark.llm._tables import documents, removed, row_key, written
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: Shards of a task.
@@ -92,10 +92,12 @@ def draw_shards(slots: np.ndarray, mix: Mix, start: int = 0, stop: int | None =
         todo += [(middle, last, before + left, counts - left), (first, middle, before, left)]
 
 
-def _blocks(docs: DataFrame, mix: Mix) -> DataFrame:
-    """Documents with their source and size and their first word's place in the source, written once."""
-    own = docs.select(F.col("doc_id"), F.col("source").alias("_source"), F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"), *row_key("doc_id", "text"))
-    own = written(own, "mix-documents")
+def _sized(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id"), F.col("source").alias("_source"), F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"), *row_key("doc_id", "text"))
+
+
+def _placed(own: DataFrame) -> DataFrame:
+    """Documents with their source and size and their first word's place in the source."""
     bits = max(1, (own.count().bit_length() + 1) // 2)
     own = own.withColumn("_bucket", F.shiftright("_k1", 64 - bits))  # ranges of the hash in its order
     totals = own.groupBy("_source", "_bucket").agg(F.sum("size").alias("_words"))
@@ -166,7 +168,9 @@ class Mixed:
 
 def mixed(docs: DataFrame, mix: Mix = Mix()) -> Mixed:
     spark = docs.sparkSession
-    placed = written(_blocks(docs, mix), "mix-placed")
+    own = written(_sized(docs), "mix-documents")
+    placed = written(_placed(own), "mix-placed")
+    removed(own)
     found = sorted(((r["_source"], r["n"]) for r in placed.groupBy("_source").agg(F.sum("size").alias("n")).collect()), key=lambda x: (x[0] is None, x[0] or ""))
     sizes = [n for _, n in found]
     aims = targets(sizes, mix)

@@ -9,20 +9,24 @@ from quillmark.functions import constants as K
 from quillmark.functions import text as T
 
 
-def matches(path: Column, pattern: str) -> Column:
-    """*x: the path ends with x; d/: a part of the path is d; else the path holds the text."""
-    if pattern.startswith("*"):
-        return path.endswith(pattern[1:])
-    if pattern.endswith("/"):
-        return F.array_contains(F.split(path, "/"), pattern[:-1])
-    return path.contains(pattern)
+def matches(path: Column, patterns: list[str]) -> Column:
+    """*x: the path ends with x; d/: a part of the path is d; else the path holds the text. One test for each of the three kinds, however many patterns there are."""
+    ends, folders = [p[1:] for p in patterns if p.startswith("*")], [p[:-1] for p in patterns if p.endswith("/") and not p.startswith("*")]
+    texts = [p for p in patterns if not p.startswith("*") and not p.endswith("/")]
+    any_of = lambda xs: "|".join(f"\\Q{x}\\E" for x in xs)
+    out = F.lit(False)
+    if ends:
+        out = out | path.rlike(f"(?:{any_of(ends)})\\z")
+    if folders:
+        out = out | F.arrays_overlap(F.split(path, "/"), F.array(*map(F.lit, folders)))
+    return out | path.rlike(any_of(texts)) if texts else out
 
 
 def ignored(path: Column | str, size: Column | str, patterns: list[str] | None = None, most_bytes: int = K.MAX_FILE_BYTES) -> Column:
     """Whether indexing passes a file over; a null path or size counts as ignored."""
     p, name, end = T._col(path), T.basename(path), T.suffix(path)
     hidden = name.startswith(".") & ~name.isin(K.HIDDEN_KEPT) & ~end.isin(K.HIDDEN_KEPT_SUFFIXES)
-    out = (T._col(size) > most_bytes) | hidden | T._any(matches(p, x) for x in (K.IGNORE_PATTERNS if patterns is None else patterns))
+    out = (T._col(size) > most_bytes) | hidden | matches(p, K.IGNORE_PATTERNS if patterns is None else patterns)
     return F.coalesce(out, F.lit(True))
 
 
@@ -64,16 +68,5 @@ def tags(project_type: Column, paths: Column) -> Column:
     return F.array_compact(F.array(project_type, F.when(has("docs"), "documentation"), F.when(has("test", "tests"), "testing"), F.when(has("api"), "api")))
 
 
-#: Ignore patterns and settings by project type.
-LANGUAGE_SETTINGS = {
-    "python": {"ignored_patterns": "*.pyc __pycache__/ .pytest_cache/ .coverage .tox/ .venv/ venv/ env/ .mypy_cache/".split()},
-    "javascript": {"ignored_patterns": "node_modules/ .npm/ .yarn/ dist/ build/ coverage/ .nyc_output/ .next/ .nuxt/".split()},
-    "java": {"ignored_patterns": "target/ build/ .gradle/ .m2/ *.class *.jar *.war *.ear".split()},
-    "rust": {"ignored_patterns": "target/ Cargo.lock *.rlib *.rmeta".split()},
-    "go": {"ignored_patterns": "vendor/ go.sum *.exe *.test".split()},
-    "documentation": {"indexing": {"enable_embeddings": True, "chunk_size": 256, "chunk_overlap": 25}},
-}
-
-
 def language_settings(project_type: str) -> dict:
-    return LANGUAGE_SETTINGS.get(project_type, {})
+    return K.LANGUAGE_SETTINGS.get(project_type, {})

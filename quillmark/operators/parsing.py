@@ -19,7 +19,6 @@ from pyspark.sql import functions as F
 from quillmark.functions import constants as K
 from quillmark.functions import text as T
 
-HEADER = r"^(#{1,6})\s+([\s\S]+)$"
 SECTION = "section_id string, title string, level int, start_line int, end_line int, content string, parent_id string, children array<string>, file_path string"
 SYMBOL = "name string, type string, file_path string, line_number int, column int, scope string, signature string, docstring string"
 
@@ -34,7 +33,7 @@ def markdown_sections(files: DataFrame) -> DataFrame:
     The parent is the nearest earlier header of a smaller level, within the file; ids hold the whole path, so equal names in two folders differ.
     """
     lines = files.select("path", "content", F.transform(_lines(), T.strip).alias("stripped"))
-    marked = F.filter(F.transform("stripped", lambda x, i: F.struct((i + 1).alias("line"), F.length(F.regexp_extract(x, HEADER, 1)).alias("level"), T.strip(F.regexp_extract(x, HEADER, 2)).alias("title"))), lambda h: h["level"] > 0)
+    marked = F.filter(F.transform("stripped", lambda x, i: F.struct((i + 1).alias("line"), F.length(F.regexp_extract(x, K.HEADER, 1)).alias("level"), T.strip(F.regexp_extract(x, K.HEADER, 2)).alias("title"))), lambda h: h["level"] > 0)
     heads = lines.select("path", F.split("content", "\n").alias("lines"), marked.alias("heads"))
     name = lambda h: F.concat_ws("_", T.stem("path"), h["line"], h["level"])
     parent = lambda h: F.try_element_at(F.filter("heads", lambda o: (o["line"] < h["line"]) & (o["level"] < h["level"])), F.lit(-1))
@@ -81,37 +80,32 @@ def _by_line(files: DataFrame, rules) -> DataFrame:
     return each.select("s.name", "s.type", "file_path", "s.line_number", F.lit(0).alias("column"), F.lit("global").alias("scope"), "s.signature", F.lit(None).cast("string").alias("docstring"))
 
 
-PY_DEF = r"^\s*(async\s+)?def\s+(\w+)\s*\(([^)]*)\)\s*:"
-PY_CLASS = r"^\s*class\s+(\w+)(\([^)]*\))?\s*:"
 
 
 def python_symbols_by_line(files: DataFrame) -> DataFrame:
     """Definitions by line patterns, for sources that do not parse."""
 
     def rules(x: Column, n: Column) -> Column:
-        is_async = F.regexp_extract(x, PY_DEF, 1) != ""
-        name, parameters, cls = F.regexp_extract(x, PY_DEF, 2), F.regexp_extract(x, PY_DEF, 3), F.regexp_extract(x, PY_CLASS, 1)
+        is_async = F.regexp_extract(x, K.PY_DEF, 1) != ""
+        name, parameters, cls = F.regexp_extract(x, K.PY_DEF, 2), F.regexp_extract(x, K.PY_DEF, 3), F.regexp_extract(x, K.PY_CLASS, 1)
         signature = F.concat(F.when(is_async, "async ").otherwise(""), F.lit("def "), name, F.lit("("), parameters, F.lit("):"))
         return F.array(
             F.when(name != "", _symbol(n, F.when(is_async, "async_function").otherwise("function"), name, signature)),
-            F.when(cls != "", _symbol(n, "class", cls, F.concat(F.lit("class "), cls, F.regexp_extract(x, PY_CLASS, 2), F.lit(":")))),
+            F.when(cls != "", _symbol(n, "class", cls, F.concat(F.lit("class "), cls, F.regexp_extract(x, K.PY_CLASS, 2), F.lit(":")))),
         )
 
     return _by_line(files, rules)
 
 
-JS_FUNCTION = r"^\s*(?:export\s+)?(?:async\s+)?function\s+(\w+)\s*\(([^)]*)\)"
-JS_ARROW = r"^\s*(?:const|let|var)\s+(\w+)\s*=\s*(?:async\s+)?\([^)]*\)\s*=>"
-JS_CLASS = r"^\s*(?:export\s+)?class\s+(\w+)"
 
 
 def javascript_symbols(files: DataFrame) -> DataFrame:
     """Functions, arrow functions with parenthesised parameters, and classes, by line."""
 
     def rules(x: Column, n: Column) -> Column:
-        name, arrow, cls = F.regexp_extract(x, JS_FUNCTION, 1), F.regexp_extract(x, JS_ARROW, 1), F.regexp_extract(x, JS_CLASS, 1)
+        name, arrow, cls = F.regexp_extract(x, K.JS_FUNCTION, 1), F.regexp_extract(x, K.JS_ARROW, 1), F.regexp_extract(x, K.JS_CLASS, 1)
         return F.array(
-            F.when(name != "", _symbol(n, "function", name, F.concat(F.lit("function "), name, F.lit("("), F.regexp_extract(x, JS_FUNCTION, 2), F.lit(")")))),
+            F.when(name != "", _symbol(n, "function", name, F.concat(F.lit("function "), name, F.lit("("), F.regexp_extract(x, K.JS_FUNCTION, 2), F.lit(")")))),
             F.when(arrow != "", _symbol(n, "function", arrow, F.concat(F.lit("const "), arrow, F.lit(" = () => {}")))),
             F.when(cls != "", _symbol(n, "class", cls, F.concat(F.lit("class "), cls))),
         )
@@ -165,10 +159,10 @@ def python_symbols(files: DataFrame) -> DataFrame:
 
 def _fallback(source: str) -> Iterator[tuple]:
     for n, line in enumerate(source.split("\n"), 1):
-        if m := re.match(PY_DEF, line):
+        if m := re.match(K.PY_DEF, line):
             lead = "async " if m[1] else ""
             yield m[2], "async_function" if m[1] else "function", n, 0, f"{lead}def {m[2]}({m[3]}):", None
-        if m := re.match(PY_CLASS, line):
+        if m := re.match(K.PY_CLASS, line):
             yield m[1], "class", n, 0, f"class {m[1]}{m[2] or ''}:", None
 
 

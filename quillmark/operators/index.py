@@ -17,6 +17,10 @@ from pyspark.sql import functions as F
 from quillmark.functions import constants as K
 from quillmark.functions import text as T
 
+#: Bytes of a stored file, about; partitions of the sections at most; sections of a term in one file.
+PART_BYTES = 128 << 20
+MOST_PARTS = 1 << 14
+HOT_SECTIONS = 1 << 22
 TABLES = ("postings", "term_stats", "section_stats", "corpus_stats", "impacts")
 
 
@@ -55,30 +59,42 @@ def bm25_share(tf: Column, df: Column, dl: Column, n: Column, avg_dl: Column) ->
     return idf * (tf * (K.BM25_K1 + 1)) / (tf + K.BM25_K1 * (1 - K.BM25_B + K.BM25_B * dl / avg_dl))
 
 
-def impacts(index: Index) -> DataFrame:
+def impacts(index: Index, *more: str) -> DataFrame:
     one = index.corpus_stats.select(F.col("n").alias("_n"), F.col("avg_dl").alias("_avg"))
     joined = index.postings.join(index.term_stats, "term").join(index.section_stats.select("section_id", "dl"), "section_id").join(F.broadcast(one))  # one row
-    return joined.select("term", "section_id", bm25_share(F.col("tf"), F.col("df"), F.col("dl"), F.col("_n"), F.col("_avg")).alias("impact"))
+    return joined.select("term", "section_id", bm25_share(F.col("tf"), F.col("df"), F.col("dl"), F.col("_n"), F.col("_avg")).alias("impact"), *more)
 
 
 def section_part(parts: int) -> Column:
     return F.pmod(F.hash("section_id"), F.lit(parts))
 
 
-def write(index: Index, path: str, buckets: int = 64, parts: int = 16) -> None:
-    """Writes the tables below `path`; those by term are dealt by hashed term, sorted, so that a query's terms prune row groups. Statistics come from the written postings."""
+def planned_bytes(df: DataFrame) -> int:
+    """Spark's estimate of a table's size: of the files, for one that is stored."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
+def write(index: Index, path: str, buckets: int | None = None, parts: int | None = None) -> None:
+    """Writes the tables below `path`; impacts are dealt by hashed term, sorted, so that a query's terms prune row groups. Statistics come from the written postings.
+
+    The numbers of files follow the sizes unless they are given. A term of over HOT_SECTIONS sections is dealt to as many files as it fills, by hashed section.
+    """
     spark, stored = index.postings.sparkSession, lambda name: spark.read.parquet(f"{path}/{name}")
 
     def put(name: str, df: DataFrame) -> DataFrame:
         df.write.mode("overwrite").parquet(f"{path}/{name}")
         return stored(name)
 
-    by_term = lambda df: df.repartition(buckets, "term").sortWithinPartitions("term")
-    postings = put("postings", by_term(index.postings))
+    # Dealt by term and section already: sorted where they are, without another shuffle.
+    postings = put("postings", index.postings.sortWithinPartitions("term"))
     terms = put("term_stats", postings.filter(F.length("term") > 2).groupBy("term").agg(F.count(F.lit(1)).alias("df")).sortWithinPartitions("term"))
     lengths = put("section_stats", index.section_stats)
+    parts = parts or min(MOST_PARTS, max(16, planned_bytes(index.sections) // PART_BYTES))
     totals = put("corpus_stats", lengths.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avg_dl"), F.lit(parts).alias("parts")))
-    put("impacts", by_term(impacts(Index(postings, terms, lengths, totals, index.sections))))
+    shares = impacts(Index(postings, terms, lengths, totals, index.sections), "df")
+    buckets = buckets or max(16, planned_bytes(postings) // PART_BYTES)
+    spread = shares.withColumn("_salt", F.pmod(F.hash("section_id"), F.ceil(F.col("df") / HOT_SECTIONS).cast("int"))).repartition(buckets, "term", "_salt")
+    put("impacts", spread.sortWithinPartitions("term").select("term", "section_id", "impact"))
     index.sections.withColumn("part", section_part(parts)).repartition("part").write.mode("overwrite").partitionBy("part").parquet(f"{path}/sections")
 
 

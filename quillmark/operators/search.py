@@ -6,11 +6,12 @@ A query is one lazy plan. Scores are ranked as rounded to six places, ties by se
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillmark.functions import constants as K
@@ -40,8 +41,10 @@ def _scored(index: Index, terms: DataFrame | None, keys: list[str], only: list[s
         shares = index.impacts
     else:
         one = index.corpus_stats.select(F.col("n").alias("_n"), F.col("avg_dl").alias("_avg"))
-        hits = index.postings if only is None else index.postings.filter(F.col("term").isin(only))
-        joined = hits.join(index.term_stats, "term").join(index.section_stats.select("section_id", "dl"), "section_id").join(F.broadcast(one))  # one row
+        # The queries' terms come first: statistics and lengths meet only the postings that a query asks for.
+        asked = (lambda df: df.filter(F.col("term").isin(only))) if only is not None else (lambda df: df.join(terms.select("term").distinct(), "term", "left_semi"))
+        hits = asked(index.postings)
+        joined = hits.join(asked(index.term_stats), "term").join(index.section_stats.select("section_id", "dl"), "section_id").join(F.broadcast(one))  # one row
         shares = joined.select("term", "section_id", bm25_share(F.col("tf"), F.col("df"), F.col("dl"), F.col("_n"), F.col("_avg")).alias("impact"))
     rows = shares.filter(F.col("term").isin(only)).withColumn("times", times) if terms is None else shares.join(terms, "term")
     return rows.groupBy(*keys, "section_id").agg(F.sum(F.col("times") * F.col("impact")).alias("score")).filter("score > 0")
@@ -87,19 +90,58 @@ def with_content(index: Index, top: DataFrame) -> DataFrame:
     return F.broadcast(own).join(index.sections.select("part", "section_id", *text), ["part", "section_id"]).select(*RESULT)
 
 
+def _products(batch: pa.RecordBatch, queries: np.ndarray, floor: np.ndarray | float) -> tuple[np.ndarray, np.ndarray, pa.Array] | None:
+    """Query, score and section of the pairs above the floor. Vectors of another length, and null ones, match nothing."""
+    column = batch.column(1)
+    sizes = np.diff(column.offsets.to_numpy()) if batch.num_rows else np.zeros(0)
+    ok = np.flatnonzero((sizes == queries.shape[1]) & ~np.asarray(column.is_null()))
+    if not len(ok):
+        return None
+    rows = column.take(pa.array(ok))
+    matrix = rows.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(ok), queries.shape[1])
+    scores = matrix @ queries.T
+    row, query = np.nonzero(scores > floor)
+    return query, scores[row, query], batch.column(0).take(pa.array(ok[row]))
+
+
+PAIRS = "query_id string, section_id string, score double"
+
+
 def _similarities(queries: np.ndarray, ids: list, threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            column = batch.column(1)
-            sizes = np.diff(column.offsets.to_numpy()) if batch.num_rows else np.zeros(0)
-            ok = np.flatnonzero((sizes == queries.shape[1]) & ~np.asarray(column.is_null()))
-            if not len(ok):
-                continue
-            rows = column.take(pa.array(ok))
-            matrix = rows.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(ok), queries.shape[1])
-            scores = matrix @ queries.T
-            row, query = np.nonzero(scores > threshold)
-            yield pa.RecordBatch.from_arrays([pa.array([ids[q] for q in query], pa.string()), batch.column(0).take(pa.array(ok[row])), pa.array(scores[row, query])], ["query_id", "section_id", "score"])
+            if found := _products(batch, queries, threshold):
+                yield pa.RecordBatch.from_arrays([pa.array([ids[q] for q in found[0]], pa.string()), found[2], pa.array(found[1])], ["query_id", "section_id", "score"])
+
+    return run
+
+
+def _nearest(queries: np.ndarray, ids: list, threshold: float, most: int):
+    """The best `most` of a task for each query, a few more where rounded scores tie."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [np.zeros(0, np.int64), np.zeros(0), np.zeros(0, object)]
+        floor = np.full(len(ids), threshold)
+
+        def pruned() -> None:
+            order = np.lexsort((-held[1], held[0]))
+            query, score = held[0][order], held[1][order]
+            first = np.searchsorted(query, np.arange(len(ids)))
+            nth = np.arange(len(query)) - first[query]
+            last = order[nth == most - 1]
+            floor[held[0][last]] = np.maximum(floor[held[0][last]], held[1][last] - 2e-6)
+            keep = held[1] > floor[held[0]]
+            held[:] = [x[keep] for x in held]
+
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1024):
+                if found := _products(batch.slice(at, 1024), queries, floor):
+                    more = (found[0], found[1], np.array(found[2].to_pylist(), object))
+                    held[:] = [np.concatenate([x, y]) for x, y in zip(held, more, strict=True)]
+                if len(held[0]) > 4 * most * len(ids):
+                    pruned()
+        pruned()
+        yield pa.RecordBatch.from_arrays([pa.array([ids[q] for q in held[0]], pa.string()), pa.array(held[2], pa.string()), pa.array(held[1], pa.float64())], ["query_id", "section_id", "score"])
 
     return run
 
@@ -107,18 +149,40 @@ def _similarities(queries: np.ndarray, ids: list, threshold: float):
 def similar(vectors: DataFrame, queries: list[tuple[str, list[float]]], threshold: float = K.SEMANTIC_THRESHOLD) -> DataFrame:
     """query_id, section_id and dot product above the threshold, of every vector with every query. vectors: section_id, embedding.
 
-    One scan of the vectors for each block of queries; a task multiplies Arrow batches with the block's matrix. Vectors of another length, and null ones, match nothing.
+    One scan of the vectors for each block of queries, which are few; a task multiplies Arrow batches with the block's matrix. Vectors of another length, and null ones, match nothing.
     """
-    kind = "query_id string, section_id string, score double"
     out = None
-    for at in range(0, max(1, len(queries)), QUERY_BLOCK):
+    for at in range(0, len(queries), QUERY_BLOCK):
         block = queries[at : at + QUERY_BLOCK]
-        if not block:
-            return vectors.sparkSession.createDataFrame([], kind)
         matrix = np.array([v for _, v in block], np.float64)
-        part = vectors.select(F.col("section_id").cast("string"), "embedding").mapInArrow(_similarities(matrix, [q for q, _ in block], threshold), kind)
+        part = vectors.select(F.col("section_id").cast("string"), "embedding").mapInArrow(_similarities(matrix, [q for q, _ in block], threshold), PAIRS)
+        out = part if out is None else out.unionByName(part)
+    return vectors.sparkSession.createDataFrame([], PAIRS) if out is None else out
+
+
+def nearest(vectors: DataFrame, queries: DataFrame, folder: str, most: int = K.MAX_RESULTS, threshold: float = K.SEMANTIC_THRESHOLD) -> DataFrame:
+    """The best `most` vectors above the threshold of each query: query_id, section_id, score and rank; ties by section id. queries: query_id, embedding.
+
+    Queries go in blocks of about QUERY_BLOCK, so that the driver and a task hold one block whatever their number: a task keeps the best of its vectors for each query of
+    the block, and the ranks of what the tasks kept are one small shuffle. With several blocks each one's result is written below `folder`, which the executors share.
+    """
+    spark = vectors.sparkSession
+    blocks = max(1, -(-queries.count() // QUERY_BLOCK))
+    each, out = vectors.select(F.col("section_id").cast("string"), "embedding"), None
+    best_first = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 6)), "section_id")
+    for b in range(blocks):
+        own = queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b).select(F.col("query_id").cast("string"), "embedding").filter("embedding IS NOT NULL").collect()
+        if not own:
+            continue
+        matrix, ids = np.array([r.embedding for r in own], np.float64), [r.query_id for r in own]
+        found = each.mapInArrow(_nearest(matrix, ids, threshold, most), PAIRS)
+        part = found.withColumn("rank", F.row_number().over(best_first).cast("bigint")).filter(F.col("rank") <= most)
+        if blocks > 1:
+            path = f"{folder}/nearest-{uuid.uuid4().hex}"
+            part.write.parquet(path)
+            part = spark.read.parquet(path)
         out = part if out is None else out.unionByName(part)
-    return out
+    return spark.createDataFrame([], PAIRS + ", rank bigint") if out is None else out
 
 
 def semantic_search(index: Index, vectors: DataFrame, vector: list[float], threshold: float = K.SEMANTIC_THRESHOLD) -> DataFrame:

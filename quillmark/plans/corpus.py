@@ -11,6 +11,8 @@ from quillmark.operators import index
 
 
 SPREAD_BYTES = 4 << 20
+#: Only for sessions in one process.
+LOCAL_FOLDER = "/tmp/checkpoints"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,6 +27,15 @@ def spread(rows: DataFrame) -> DataFrame:
     return rows.repartition(cores)
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """spark.checkpoint.dir. A session in one process may go without; on a cluster there is no folder to fall back to."""
+    if folder := spark.conf.get("spark.checkpoint.dir", None):
+        return folder.rstrip("/")
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    return LOCAL_FOLDER
+
+
 def sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One section for each document: its first line is the title."""
     d = table(spark, sf_dir, "documents")

@@ -13,7 +13,6 @@ from quillmark.plans.registered import query
 
 TERMS = ["worthless", "oran", "license", "the", "anat"]
 QUERY = "The worthless, oran anat error?"
-BATCH_TERMS = 3
 
 
 def values(terms: list[str], query_id: str = "''") -> str:
@@ -67,22 +66,10 @@ PREPROCESSED = rf"list_filter({C.WORDS.format('text')}, lambda w: length(w) > 2
 
 @query(
     "bm25_batch_queries",
-    f"WITH {C.INDEX}{C.bm25_sql(f'SELECT item_id AS query_id, unnest(({PREPROCESSED})[1:{BATCH_TERMS}]) AS term FROM benchmark')}, "
-    "r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, section_id) AS rank FROM bm25) SELECT query_id, section_id, round(score, 6) AS score, rank FROM r WHERE rank <= 5",
-)
-def bm25_batch_queries(spark, d):
-    asked = C.table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.slice(T.query_terms("text"), 1, BATCH_TERMS).alias("terms"))
-    found = scores(search.bm25_batch(index.build(C.sections(spark, d)), asked))
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "section_id")).cast("bigint")
-    return found.withColumn("rank", rank).filter("rank <= 5")
-
-
-@query(
-    "bm25_batch_whole_queries",
     f"WITH {C.INDEX}{C.bm25_sql(f'SELECT item_id AS query_id, unnest({PREPROCESSED}) AS term FROM benchmark')}, "
     "r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, section_id) AS rank FROM bm25) SELECT query_id, section_id, round(score, 6) AS score, rank FROM r WHERE rank <= 5",
 )
-def bm25_batch_whole_queries(spark, d):
+def bm25_batch_queries(spark, d):
     """The top 5 of each benchmark item by all of its terms."""
     asked = C.table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), T.query_terms("text").alias("terms"))
     found = scores(search.bm25_batch(index.build(C.sections(spark, d)), asked))
@@ -181,20 +168,18 @@ def semantic_threshold(spark, d):
     return scores(search.similar(C.vectors(spark, d), query_vectors(spark, d, 1), 0.1).select("section_id", "score"))
 
 
-@query("semantic_batch", f"WITH {VECTORS} SELECT q.section_id AS query_id, v.section_id, round(list_dot_product(v.e, q.e), 6) AS score FROM v, v q WHERE q.vec_id < 10 AND list_dot_product(v.e, q.e) > 0.3")
-def semantic_batch(spark, d):
-    return scores(search.similar(C.vectors(spark, d), query_vectors(spark, d, 10)))
-
+NEAREST = 10
 
-def batch_vectors(spark: SparkSession, d: str) -> list[tuple[str, list[float]]]:
-    """The vectors whose id is divisible by 50, as queries."""
-    rows = C.table(spark, d, "embeddings").filter("vec_id % 50 = 0").select("vec_id", "embedding").orderBy("vec_id").collect()
-    return [(str(r.vec_id), list(r.embedding)) for r in rows]
 
-
-@query("semantic_batch_whole", f"WITH {VECTORS} SELECT q.section_id AS query_id, v.section_id, round(list_dot_product(v.e, q.e), 6) AS score FROM v, v q WHERE q.vec_id % 50 = 0 AND list_dot_product(v.e, q.e) > 0.3")
-def semantic_batch_whole(spark, d):
-    return scores(search.similar(C.vectors(spark, d), batch_vectors(spark, d)))
+@query(
+    "semantic_batch",
+    f"""WITH {VECTORS}, s AS (SELECT q.section_id AS query_id, v.section_id, round(list_dot_product(v.e, q.e), 6) AS score FROM v, v q WHERE q.vec_id % 50 = 0 AND list_dot_product(v.e, q.e) > -1),
+    r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, section_id) AS rank FROM s) SELECT * FROM r WHERE rank <= {NEAREST}""",
+)
+def semantic_batch(spark, d):
+    """The nearest vectors of every vector whose id is divisible by 50."""
+    asked = C.table(spark, d, "embeddings").filter("vec_id % 50 = 0").select(F.col("vec_id").cast("string").alias("query_id"), "embedding")
+    return scores(search.nearest(C.vectors(spark, d), asked, C.shared_folder(spark), NEAREST, -1.0))
 
 
 LEAST = 0.1
@@ -262,11 +247,6 @@ def text_response(spark, d):
     return context.text_response(context.within_budget(hybrid(spark, d)))
 
 
-@query("json_results")
-def json_results(spark, d):
-    return context.json_response(hybrid(spark, d))
-
-
 @query(
     "structured_results",
     f"WITH {LEGS} SELECT rank, '### Result ' || rank || ': ' || title || chr(10) || '**Relevance Score:** ' || printf('%.3f', round(score, 6)) || chr(10) || '**Match Type:** ' || match_type || chr(10) || '**Source:** ' || file_path || chr(10) || chr(10) || content || chr(10) AS block FROM ranked WHERE rank <= 50",

@@ -1,4 +1,5 @@
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -73,10 +74,31 @@ def test_whole_dense_batch_equals_brute_force(spark, tmp_path, monkeypatch):
 
     vectors = {i: [math.cos(i), math.sin(i)] for i in [*range(130), 200, 1000, 1001, 5000]}
     spark.createDataFrame([(i, v, 0) for i, v in vectors.items()], "vec_id bigint, embedding array<float>, label int").repartition(3).write.parquet(f"{tmp_path}/embeddings.parquet")
-    dots = {(str(q), str(i)): sum(a * b for a, b in zip(vectors[q], vectors[i])) for q in (0, 50, 100, 200, 1000, 5000) for i in vectors}
-    monkeypatch.setattr(search, "QUERY_BLOCK", 4)
-    rows = catalogue.QUERIES["semantic_batch_whole"](spark, str(tmp_path)).collect()
-    assert {(r.query_id, r.section_id): r.score for r in rows} == {k: pytest.approx(x, abs=1e-5) for k, x in dots.items() if x > 0.3}
+    import numpy as np
+
+    real = {i: np.array(v, np.float32).astype(float) for i, v in vectors.items()}
+    want = {}
+    for q in (0, 50, 100, 200, 1000, 5000):
+        ranked = sorted((-round(float(real[q] @ real[i]), 6), str(i)) for i in vectors)
+        want[str(q)] = [(i, -s) for s, i in ranked if -s > -1][:10]
+    for block in (1024, 4, 1):
+        monkeypatch.setattr(search, "QUERY_BLOCK", block)
+        rows = catalogue.QUERIES["semantic_batch"](spark, str(tmp_path)).collect()
+        got = {}
+        for r in sorted(rows, key=lambda r: (r.query_id, r["rank"])):
+            got.setdefault(r.query_id, []).append((r.section_id, pytest.approx(r.score, abs=2e-6)))
+        assert got == want
+
+
+def test_nearest_keeps_ties_and_few(spark, tmp_path):
+    rnd = random.Random(3)
+    rows = [(f"v{i}", [float(rnd.randint(0, 2)), float(rnd.randint(0, 2))]) for i in range(5000)] + [("none", None), ("short", [1.0])]
+    vectors = spark.createDataFrame(rows, "section_id string, embedding array<double>").repartition(3)
+    asked = spark.createDataFrame([("a", [1.0, 0.0]), ("b", [0.0, -1.0]), ("c", None)], "query_id string, embedding array<double>")
+    got = search.nearest(vectors, asked, str(tmp_path), 7, 0.5).collect()
+    want = [i for _, i in sorted((-v[0], i) for i, v in rows if v and len(v) == 2)][:7]
+    assert [r.section_id for r in sorted(got, key=lambda r: r["rank"])] == want and {r.query_id for r in got} == {"a"}
+    assert search.nearest(vectors, asked.limit(0), str(tmp_path)).count() == 0
 
 
 def test_whole_batch_queries_use_terms_after_the_third(spark, tmp_path):
@@ -85,7 +107,7 @@ def test_whole_batch_queries_use_terms_after_the_third(spark, tmp_path):
     docs = [(i, t, "en", "s", len(t)) for i, t in enumerate(["alpha beta gamma", "delta omega", "omega omega", *(f"filler{i} text{i}" for i in range(7))])]
     spark.createDataFrame(docs, "doc_id bigint, text string, lang string, source string, n_chars bigint").write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([(1, "alpha beta gamma delta omega"), (2, "none such words omega")], "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
-    rows = catalogue.QUERIES["bm25_batch_whole_queries"](spark, str(tmp_path)).collect()
+    rows = catalogue.QUERIES["bm25_batch_queries"](spark, str(tmp_path)).collect()
     assert {(r.query_id, r.section_id) for r in rows} == {(1, "0"), (1, "1"), (1, "2"), (2, "1"), (2, "2")}
     one = {r.section_id: round(r.score, 6) for r in search.bm25(index.build(sections_of(spark, tmp_path)), "alpha beta gamma delta omega".split()).collect()}
     assert {r.section_id: r.score for r in rows if r.query_id == 1} == one

@@ -38,12 +38,30 @@ def hashed_encoder(dimension: int = DIMENSION) -> Callable[[list[str]], np.ndarr
     return encode
 
 
-def model_encoder(name: str = "all-MiniLM-L6-v2", batch: int = 32) -> Callable[[list[str]], np.ndarray]:
+def _sentence_transformer(name: str):
     """A sentence-transformers model, if that package is there."""
     from sentence_transformers import SentenceTransformer
 
-    model = SentenceTransformer(name)
-    return lambda texts: model.encode(texts, batch_size=batch, normalize_embeddings=True)
+    return SentenceTransformer(name)
+
+
+class ModelEncoder:
+    """A model's encoder: unit rows in batches, and the dimension, which one text tells. `load` makes a model with encode(texts, batch_size=...) from its name."""
+
+    def __init__(self, name: str = "all-MiniLM-L6-v2", batch: int = 32, load=_sentence_transformer):
+        self.model, self.batch = load(name), batch
+        self.dimension = len(self(["dimension"])[0])
+
+    def __call__(self, texts: list[str], normalize: bool = True) -> np.ndarray:
+        made = np.asarray(self.model.encode(texts, batch_size=self.batch), np.float32)
+        return made / np.maximum(np.linalg.norm(made, axis=1, keepdims=True), 1e-12) if normalize and len(made) else made
+
+    def one(self, text: str) -> np.ndarray:
+        return self([text])[0]
+
+
+def model_encoder(name: str = "all-MiniLM-L6-v2", batch: int = 32) -> ModelEncoder:
+    return ModelEncoder(name, batch)
 
 
 def encoded(chunks: DataFrame, factory: EncoderFactory = hashed_encoder) -> DataFrame:

@@ -48,24 +48,36 @@ class Settings:
                     setattr(part, f.name, values[f.name])
 
 
-def load(path: str | Path) -> Settings:
+def parsed(text: str) -> Settings:
+    """Settings of a JSON text; what it lacks has its default, and a text that is no JSON object gives the defaults."""
     out = Settings()
     try:
-        raw = json.loads(Path(path).read_text(encoding="utf-8"))
+        raw = json.loads(text)
         for part in fields(out):
             for key, value in (raw.get(part.name) or {}).items():
                 if hasattr(getattr(out, part.name), key):
                     setattr(getattr(out, part.name), key, value)
                 else:
                     log.warning("unknown setting %s.%s", part.name, key)
-    except (OSError, ValueError, AttributeError):
+    except (ValueError, AttributeError):
         return Settings()
     return out
 
 
+def rendered(settings: Settings) -> str:
+    return json.dumps(asdict(settings), indent=2)
+
+
+def load(path: str | Path) -> Settings:
+    try:
+        return parsed(Path(path).read_text(encoding="utf-8"))
+    except (OSError, ValueError):
+        return Settings()
+
+
 def save(settings: Settings, path: str | Path) -> None:
     Path(path).parent.mkdir(parents=True, exist_ok=True)
-    Path(path).write_text(json.dumps(asdict(settings), indent=2), encoding="utf-8")
+    Path(path).write_text(rendered(settings), encoding="utf-8")
 
 
 def configure_logging(level: str = "INFO", file: str | Path | None = None) -> None:
@@ -73,8 +85,12 @@ def configure_logging(level: str = "INFO", file: str | Path | None = None) -> No
     log.setLevel(level)
     log.handlers = [logging.StreamHandler()]
     if file is not None:
-        try:
-            Path(file).parent.mkdir(parents=True, exist_ok=True)
-            log.addHandler(logging.FileHandler(file, encoding="utf-8"))
-        except OSError as error:
-            log.warning("no log file at %s: %s", file, error)
+        add_log_file(file)
+
+
+def add_log_file(file: str | Path) -> None:
+    try:
+        Path(file).parent.mkdir(parents=True, exist_ok=True)
+        log.addHandler(logging.FileHandler(file, encoding="utf-8"))
+    except OSError as error:
+        log.warning("no log file at %s: %s", file, error)

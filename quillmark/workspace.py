@@ -96,19 +96,30 @@ def build(spark: SparkSession, root: str, out: str | None = None, settings: Sett
         return {"file_count": 0, "workspace_id": key, "seconds": time.time() - began}
     _products(found, out, settings, factory)
     made = Workspace(spark, out)
+    return _listed(made, registry, key, name or root.rstrip("/").rpartition("/")[2]) | {"workspace_id": key, "seconds": time.time() - began}
+
+
+def _listed(made: Workspace, registry: Registry | None, key: str | None, name: str) -> dict:
+    """The index's totals, which with the facts go to the registry."""
     totals = counts(made)
-    if registry is not None:
+    if registry is not None and key is not None:
         registry.update_stats(key, **totals)
-        registry.update_facts(key, facts(made, name or root.rstrip("/").rpartition("/")[2]))
-    return totals | {"workspace_id": key, "seconds": time.time() - began}
+        registry.update_facts(key, facts(made, name))
+    return totals
+
 
+def update(spark: SparkSession, root: str, out: str | None = None, settings: Settings | None = None, registry: Registry | None = None, factory=embedding.hashed_encoder) -> dict:
+    """Brings an index up to date: the numbers of changed and deleted files; tables are written anew, and the registry's row and facts with them, only if there are any.
 
-def update(spark: SparkSession, root: str, out: str | None = None, settings: Settings | None = None) -> dict:
-    """Brings an index up to date: the numbers of changed and deleted files; tables are written anew only if there are any."""
+    The settings and the encoder should be those of the build.
+    """
     settings, out = settings or Settings(), out or f"{root.rstrip('/')}/{FOLDER}"
     found = sources.scan(spark, root, [*settings.indexing.ignored_patterns, f"{FOLDER}/"], settings.indexing.max_file_size)
     before = spark.read.parquet(f"{out}/files")
     seen = {"changed": sources.changed(found.select("path", "hash"), before).count(), "deleted": sources.deleted(found.select("path"), before).count()}
     if any(seen.values()):
-        _products(found, out, settings, embedding.hashed_encoder)
+        _products(found, out, settings, factory)
+        row = registry.find(root) if registry is not None else None
+        if row is not None:
+            _listed(Workspace(spark, out), registry, row.id, row.name)
     return seen

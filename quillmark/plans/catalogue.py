@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from quillmark.operators import context
-from quillmark.plans import file_queries, search_queries  # noqa: F401  they register their queries
+from quillmark.plans import file_queries, search_queries, service_queries  # noqa: F401  they register their queries
 from quillmark.plans.registered import ORACLE, QUERIES
 
 __all__ = ["ORACLE", "QUERIES", "flagship"]

@@ -97,11 +97,6 @@ def js_symbols(spark, d):
     return parsing.javascript_symbols(_files(spark, d, ".js"))
 
 
-@query("py_symbols_ast")
-def py_symbols_ast(spark, d):
-    return parsing.python_symbols(_files(spark, d, ".py"))
-
-
 OUTLINE_FILES = f"{C.CODE}, {C.MARKDOWN}, files AS (SELECT * FROM code_files UNION ALL SELECT * FROM md_files), {C.LINES.format('files')}, s AS (SELECT *, {C.strip_sql('x')} AS t FROM lines)"
 OUTLINE = f"""{OUTLINE_FILES}, o AS (
     SELECT path, n, 0 AS k, CASE WHEN starts_with(t, 'class ') THEN 'class' ELSE 'function' END AS type, regexp_extract(t, '^(class |def )([^(:]*)', 2) AS name, NULL::INT AS level, t FROM s WHERE path LIKE '%.py' AND regexp_matches(t, '^(class|def) ') AND contains(x, ':')
@@ -334,8 +329,3 @@ def symbol_preview(spark, d):
 @query("embedding_stats", "SELECT 'vector' AS kind, count(*)::BIGINT AS total, max(len(embedding))::BIGINT AS dimension FROM embeddings")
 def embedding_stats(spark, d):
     return embedding.stats(C.table(spark, d, "embeddings").withColumn("kind", F.lit("vector")))
-
-
-@query("section_embeddings")
-def section_embeddings(spark, d):
-    return embedding.encoded(embedding.section_chunks(C.sections(spark, d)))

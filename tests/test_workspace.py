@@ -214,3 +214,26 @@ def test_prompts_and_log_files(tmp_path, capsys):
     settings.configure_logging("INFO", tmp_path / "plain" / "x.log")
     settings.configure_logging()
     assert cli.package_info()["version"]
+
+
+def test_messages_over_lines(spark, project, tmp_path):
+    import io
+
+    from quillmark import stdio
+
+    reg = registry.Registry(spark, f"{tmp_path}/registry")
+    workspace.build(spark, str(project), registry=reg, name="proj")
+    lines = ['{"jsonrpc": "2.0", "id": 1, "method": "initialize", "params": {"protocolVersion": "2024-11-05"}}', "", '{"jsonrpc": "2.0", "method": "notifications/initialized"}', "{", "[]", '{"jsonrpc": "2.0", "id": "x", "method": "tools/call", "params": {"name": "search_workspaces", "arguments": {"query": "quokka setup"}}}']
+    out = io.StringIO()
+    stdio.serve(Tools(reg), io.StringIO("\n".join(lines)), out)
+    answers = [json.loads(x) for x in out.getvalue().splitlines()]
+    assert [a["id"] for a in answers] == [1, None, None, "x"] and answers[1]["error"]["code"] == -32700 and answers[2]["error"]["code"] == -32600
+    assert json.loads(answers[3]["result"]["content"][0]["text"])["results"][0]["workspace_name"] == "proj" and not answers[3]["result"]["isError"]
+
+
+def test_encodings(spark):
+    texts = {"é": "utf-8", "caf\xe9": "latin-1", "“5 €”": "cp1252", "plain": "utf-8"}
+    rows = [(t, bytearray(t.encode(e))) for t, e in texts.items()] + [("\x81\x80", bytearray(b"\x81\x80"))]
+    text, encoding = sources.decoded("raw")
+    got = {r.want: (r.text, r.encoding) for r in spark.createDataFrame(rows, "want string, raw binary").select("want", text.alias("text"), encoding.alias("encoding")).collect()}
+    assert got == {t: (t, e) for t, e in texts.items()} | {"\x81\x80": ("\x81\x80", "latin-1")}

@@ -10,7 +10,8 @@ Fitting takes two Arrow passes without a shuffle of texts: tasks return sums of
 over ACCURACY_ROWS hashed training rows at most (the bound on the decoding weights' sample). Predicting takes one.
 
 Defined cases: null texts and texts without a letter are `und` with score 0; null langs are not learnt from, nor are rows with a null id,
-whose held_out is false; without any training row all texts are `und`, with a single language all others are that one; repeated rows and empty tables need no care.
+whose held_out is false; without any training row all texts are `und`, with a single language all others are that one; of languages with equal losses the first by name is taken, flagged as ambiguous; texts of any length are read whole, a long one as a block of its own; further columns, whatever
+their names, are never inputs; repeated rows count each; an empty table gives an empty result.
 """
 
 from __future__ import annotations

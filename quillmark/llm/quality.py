@@ -7,7 +7,8 @@ above 5 are looked at there alone. Coverage is the share of the words' character
 before in the text, and inside lines that have.
 
 Defined cases: a null or empty text has no words and fails; a text of white space alone likewise; rows are judged one
-by one, so repeated rows, null ids and further columns do not matter; an empty table gives an empty result.
+by one, so repeated rows, null ids and further columns do not matter; texts of any length are measured whole, a long one as a block of its own; of equal lines or windows the first
+is no repeat, and a measure that equals its limit passes; an empty table gives an empty result.
 """
 
 from __future__ import annotations

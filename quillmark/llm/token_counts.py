@@ -11,7 +11,8 @@ before it splits, a text is the sum of its space-separated pieces, and a worker
 Normalised content: white-space runs as one space where the tokenizer does so itself, else the text as it is.
 
 Defined cases: a null text counts as empty, with 0 bytes and the tokens of the empty text; repeated rows and texts each get the count
-encoded once; null ids and further columns do not matter; an empty table encodes nothing.
+encoded once; texts of any length are counted whole; where two runs have appended counts of one digest, which are equal, one is taken; null ids and further columns do not
+matter (a column of the result's name gives way to it); an empty table encodes nothing.
 """
 
 from __future__ import annotations

@@ -276,3 +276,27 @@ def test_clashing_names_of_further_columns(spark):
     assert suffix_dedup.repeats(df, names).count() == 3 and mixing.takes(df).count() == 3
     assert token_counts.counted(df, names, token_counts.vocabulary_path(), new_path(spark, "test-cache")).columns == [*names, "n_tokens"]
     assert language.predict(df, language.fit(df), names).columns == [*names, "lang_pred", "score", "ambiguous"]
+
+
+def test_pipeline_with_clashing_names_and_without_documents(spark, tmp_path):
+    rnd = random.Random(6)
+    prose = lambda n: " ".join("".join(rnd.choice(SYLLABLES["en"]) for _ in range(4)) + str(rnd.randint(0, 99)) for _ in range(n))
+    rows = [(i, prose(60) + f" a{i}@b.example.org", "en", "s", 9, "x") for i in range(6)] + [(None, prose(60), None, None, None, None), (7, None, None, None, None, None)]
+    rows += [rows[0], (9, "x y z " * 20, "en", "s", 9, "x")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint, other string")
+    for c in CLASHES:
+        df = df.withColumn(c, df.other)
+    items = spark.createDataFrame([(1, " ".join(rows[1][1].split()[5:17]))], "item_id bigint, text string")
+    for name, docs, want in (("some", df, [None, 0, 2, 3, 4, 5]), ("none", df.limit(0), [])):
+        docs.write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        items.write.parquet(f"{tmp_path}/{name}/benchmark.parquet")
+        made = corpus_pipeline.run(spark, f"{tmp_path}/{name}").collect()
+        assert sorted((r.doc_id for r in made), key=lambda x: (x is not None, x)) == want
+        now = spark.read.parquet(f"{tmp_path}/{name}/documents.parquet")
+        for _, stage in corpus_pipeline.STAGES[:-1]:
+            now = stage(spark, now, f"{tmp_path}/{name}")
+            assert now.columns == df.columns
+        assert now.filter("text LIKE '%@%'").count() == 0
+    items.limit(0).write.parquet(f"{tmp_path}/bare/benchmark.parquet")
+    df.write.parquet(f"{tmp_path}/bare/documents.parquet")
+    assert corpus_pipeline.run(spark, f"{tmp_path}/bare").count() == 7

@@ -158,6 +158,15 @@ def registry_mutations(spark, d):
     return rows.select("name", "path", "document_count", F.round("index_size_mb", 6).alias("index_size_mb"), "description", "status", F.coalesce("links", F.array().cast("array<string>")).alias("links"), found.alias("found"))
 
 
+@query("registry_singleton", values(["same", "other", "after_reset"], [(True, False, False)]))
+def registry_singleton(spark, d):
+    folder = new_folder(spark, "registry")
+    first = registry.shared_registry(spark, folder)
+    same, other = registry.shared_registry(spark, folder) is first, registry.shared_registry(spark, f"{folder}-2") is first
+    registry.reset_shared_registry()
+    return spark.createDataFrame([(same, other, registry.shared_registry(spark, folder) is first)], "same boolean, other boolean, after_reset boolean")
+
+
 SYMBOLS = [
     ("hello", "function", "src/code.py", 8, 0, "global", "def hello(name, loud):", "Greets a wombat, a wombat indeed."),
     ("Animal", "class", "src/code.py", 4, 0, "zoo", "class Animal:", None),

@@ -1,7 +1,8 @@
 """Token counts from a digest cache (operator 5).
 
 A text's key is the SHA-256 of its normalised content beside the SHA-256 of the tokenizer's file. Stored counts are joined
-on that key; only distinct contents without one are encoded, and their counts are appended to the cache, a Parquet table.
+on that key; only distinct contents without one are encoded, and their counts are appended to the cache, a Parquet table. Digests alone are compared with the cache: where it has
+them all, no text is shuffled. The query fills a cache of its own and joins its rows to the stored counts.
 
 Misses keep one row for each digest in each scan task before they are shuffled by digest, compressed, so a text that a third of all
 rows share crosses once from each task. The tokenizers library counts every text. Where the vocabulary file drops white space
@@ -26,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmark.llm._tables import documents, new_path, unused, written
+from quillmark.llm._tables import bounded, documents, new_path, unused, written
 
 LIMIT = 2048
 PIECES = 200_000
@@ -145,21 +146,38 @@ def digest(text, path: str):
     return F.unhex(F.sha2(normal.cast("binary"), 256))
 
 
-def counted(docs: DataFrame, keep: list[str], path: str, cache: str, text: str = "text", into: str = "n_tokens") -> DataFrame:
-    """Columns `keep` of every row and its token count; counts that the cache at `cache` lacks are appended to it first."""
-    spark, version, key, body = docs.sparkSession, version_of(path), unused(docs, "_digest"), unused(docs, "_body")
-    keyed = docs.select(digest(F.col(f"`{text}`"), path).alias(key), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias(body))
+def _stored(spark: SparkSession, cache: str, version: str) -> DataFrame | None:
+    """Counts of the cache for a tokenizer's version; None before the cache's first use."""
     try:
-        known = spark.read.schema(CACHE).parquet(cache).filter(F.col("version") == version)
-        misses = keyed.join(known.select(F.col("digest").alias(key)), key, "left_anti")
-    except Exception as error:  # the cache's first use
+        return spark.read.schema(CACHE).parquet(cache).filter(F.col("version") == version)
+    except Exception as error:
         if "PATH_NOT_FOUND" not in str(error):
             raise
-        misses = keyed
-    firsts = misses.select(key, body).mapInArrow(_first_of_each, "digest binary, packed binary")
-    firsts.repartition("digest").mapInArrow(_encoder(path, version), CACHE).write.mode("append").parquet(cache)
-    known = spark.read.schema(CACHE).parquet(cache).filter(F.col("version") == version)
-    counts = known.groupBy(F.col("digest").alias(key)).agg(F.max("n_tokens").alias(into))
+        return None
+
+
+def fill(docs: DataFrame, path: str, cache: str, text: str = "text") -> None:
+    """Encodes the distinct contents whose digests the cache lacks and appends their counts. Texts are shuffled only if there are some to encode."""
+    spark, version = docs.sparkSession, version_of(path)
+    keyed = docs.select(digest(F.col(f"`{text}`"), path).alias("digest"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("body"))
+    known, firsts = _stored(spark, cache, version), keyed.mapInArrow(_first_of_each, "digest binary, packed binary")
+    if known is None:
+        each = firsts.repartition("digest")
+    else:
+        both = keyed.select("digest", F.lit(0).alias("stored")).union(known.select("digest", F.lit(1)))
+        misses = written(both.groupBy("digest").agg(F.max("stored").alias("stored")).filter("stored = 0").select("digest"), "token-misses")
+        if misses.isEmpty():
+            return
+        each = firsts.join(misses.withColumnRenamed("digest", "_digest").hint("merge"), F.col("digest") == F.col("_digest")).select("digest", "packed")
+    bounded(spark)
+    each.mapInArrow(_encoder(path, version), CACHE).write.mode("append").parquet(cache)
+
+
+def counted(docs: DataFrame, keep: list[str], path: str, cache: str, text: str = "text", into: str = "n_tokens") -> DataFrame:
+    """Columns `keep` of every row and its token count; counts that the cache at `cache` lacks are appended to it first."""
+    spark, version, key = docs.sparkSession, version_of(path), unused(docs, "_digest")
+    fill(docs, path, cache, text)
+    counts = _stored(spark, cache, version).groupBy(F.col("digest").alias(key)).agg(F.max("n_tokens").alias(into))
     counts = written(counts, "token-counts")  # a plain shuffle on both sides of the join, which adaptive execution can split
     rows = docs.select(*(F.col(f"`{c}`") for c in keep if c != into), digest(F.col(f"`{text}`"), path).alias(key))
     return rows.join(counts, key, "left").drop(key)
@@ -168,5 +186,6 @@ def counted(docs: DataFrame, keep: list[str], path: str, cache: str, text: str =
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     sized = docs.withColumn("n_bytes", F.octet_length("text").cast("long"))
-    rows = counted(sized, ["doc_id", "n_bytes"], vocabulary_path(), new_path(spark, "token-cache"))
+    cache = new_path(spark, "token-cache")
+    rows = counted(sized, ["doc_id", "n_bytes"], vocabulary_path(), cache)
     return rows.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > LIMIT).alias("over_limit"))

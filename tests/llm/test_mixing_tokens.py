@@ -105,6 +105,18 @@ def test_token_counts_equal_the_library(spark, docs, awkward, no_docs, monkeypat
     assert stored == len({re.sub("[ \n]+", " ", r[1] or "") for r in awkward})
     assert got() == want and spark.read.parquet(cache).count() == stored
     assert token_counts.counted(no_docs, ["doc_id"], path, cache).count() == 0
+    # Some new texts beside stored ones: those alone are encoded.
+    more = docs.unionByName(spark.createDataFrame([(500 + i, t, "en", "s", 1, "q", 1, "k") for i, t in enumerate(["new text one", "new text one", "new  text two"])], docs.schema))
+    rows = token_counts.counted(more, ["text"], path, cache).collect()
+    assert sorted((r.text or "", r.n_tokens) for r in rows) == sorted((r.text or "", count(r.text)) for r in rows) and spark.read.parquet(cache).count() == stored + 2
+
+
+def test_op5_counts_from_stored_counts(spark, docs, awkward, tmp_path):
+    docs.select("doc_id", "text").write.parquet(f"{tmp_path}/documents.parquet")
+    rows = token_counts.op5_token_counts(spark, str(tmp_path)).collect()
+    library = token_counts.counter(token_counts.vocabulary_path()).tokenizer
+    want = [(r[0], len((r[1] or "").encode()), len(library.encode(r[1] or "", add_special_tokens=False))) for r in awkward]
+    assert sorted(map(repr, ((r.doc_id, r.n_bytes, r.n_tokens, r.over_limit) for r in rows))) == sorted(map(repr, ((*w, w[2] > 2048) for w in want)))
 
 
 def test_token_pieces_and_special_strings():

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from quillmark.functions import constants as K
 from quillmark.functions import text as T
+from quillmark.shared import planned_bytes
 
 #: Bytes of a stored file, about; partitions of the sections at most; sections of a term in one file.
 PART_BYTES = 128 << 20
@@ -69,11 +70,6 @@ def section_part(parts: int) -> Column:
     return F.pmod(F.hash("section_id"), F.lit(parts))
 
 
-def planned_bytes(df: DataFrame) -> int:
-    """Spark's estimate of a table's size: of the files, for one that is stored."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-
-
 def write(index: Index, path: str, buckets: int | None = None, parts: int | None = None) -> None:
     """Writes the tables below `path`; impacts are dealt by hashed term, sorted, so that a query's terms prune row groups. Statistics come from the written postings.
 

@@ -8,11 +8,9 @@ from pyspark.sql import functions as F
 from quillmark.functions import constants as K
 from quillmark.functions import text as T
 from quillmark.operators import index
-
+from quillmark.shared import planned_bytes, shared_folder
 
 SPREAD_BYTES = 4 << 20
-#: Only for sessions in one process.
-LOCAL_FOLDER = "/tmp/checkpoints"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,20 +20,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def spread(rows: DataFrame) -> DataFrame:
     """Rows over all cores, where a scan of some megabytes has fewer tasks than cores, as one row group has; a larger table's scan is left as it is."""
     execution, cores = rows._jdf.queryExecution(), rows.sparkSession.sparkContext.defaultParallelism
-    if int(str(execution.optimizedPlan().stats().sizeInBytes())) < SPREAD_BYTES or execution.toRdd().getNumPartitions() >= cores:
+    if planned_bytes(rows) < SPREAD_BYTES or execution.toRdd().getNumPartitions() >= cores:
         return rows
     return rows.repartition(cores)
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir. A session in one process may go without; on a cluster there is no folder to fall back to."""
-    if folder := spark.conf.get("spark.checkpoint.dir", None):
-        return folder.rstrip("/")
-    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
-        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-    return LOCAL_FOLDER
-
-
 def sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One section for each document: its first line is the title."""
     d = table(spark, sf_dir, "documents")

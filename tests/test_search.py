@@ -1,6 +1,8 @@
 import math
 import random
+from bisect import bisect_right
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -179,17 +181,50 @@ def test_contexts(spark):
     assert context.json_response(ranked).first()[0].startswith('[{"section_id":"0","title":"t0"')
 
 
+@pytest.mark.parametrize("blocks", [False, True])
 @pytest.mark.parametrize("budget", [5, 40, 10_000])
-def test_packing_keeps_every_section_once(spark, budget):
+def test_packing_keeps_every_section_once(spark, budget, blocks):
     sizes = [3, 30, 1, 1, 90, 4, 4, 4, 0, 12]
     rows = [(g, i, f"{g}{i}", "t", "x" * (4 * n)) for g in "ab" for i, n in enumerate(sizes)]
     df = spark.createDataFrame(rows, "grp string, ord int, section_id string, title string, content string").repartition(3)
-    chunks = context.packed_chunks(df, budget).orderBy("grp", "chunk_no").collect()
+    chunks = context.packed_chunks(df, budget, blocks).orderBy("grp", "chunk_no").collect()
     assert [s for c in chunks for s in c.section_ids] == [r[2] for r in rows]
     assert all(c.token_count <= budget or c.section_count == 1 for c in chunks)
     assert [c.chunk_no for c in chunks if c.grp == "a"] == list(range(sum(c.grp == "a" for c in chunks)))
 
 
+@pytest.mark.parametrize("budget", [0, 7, 60, 1000])
+def test_blocks_pack_as_one_task_does(spark, budget):
+    """One group holds most rows; some sections have no tokens, some are over the budget, and a null group and null contents are among them."""
+    rng = random.Random(budget)
+    sizes = lambda n: [rng.choice([0, 0, 1, 3, 8, 30, 90]) for _ in range(n)]
+    rows = [(g, i, f"{i}", "t", None if s == 90 and i % 2 else "x" * (4 * s)) for g, n in (("hot", 700), ("a", 3), ("b", 90), (None, 5)) for i, s in enumerate(sizes(n))]
+    df = spark.createDataFrame(rows, "grp string, ord int, section_id string, title string, content string").repartition(5)
+    before = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # so that one group lies in several blocks
+    try:
+        apart = context.packed_chunks(df, budget, True).collect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before)
+    key = lambda r: (r.grp or "", r.chunk_no)
+    assert sorted(apart, key=key) == sorted(context.packed_chunks(df, budget, False).collect(), key=key)
+    assert sum(r.section_count for r in apart) == len(rows)
+    assert not context.packed_chunks(df.limit(0), budget, True).collect()
+
+
+def test_steps_of_a_run_equal_packing_it():
+    rng = random.Random(3)
+    for _ in range(300):
+        tokens, budget, used = [rng.choice([0, 1, 2, 5, 20]) for _ in range(rng.randint(1, 12))], rng.randint(0, 12), rng.randint(0, 25)
+        ends, left, begun, total = context.packing_steps(np.array(tokens), budget)
+        at = bisect_right(ends, budget - used)
+        got = (left[at], begun[at] + 1) if at < len(ends) else (used + total, 0)
+        number = 0
+        for t in tokens:
+            used, number = (used + t, number) if used + t <= budget else (t, number + 1)
+        assert got == (used, number) and len(ends) <= budget + 2
+
+
 def test_sentence_chunks_overlap():
     assert context.sentence_chunks_of(["a" * 300, "b" * 40, "c" * 300, "d" * 600, "e"]) == ["a" * 300 + " " + "b" * 40, "b" * 40 + " " + "c" * 300, "d" * 600, "e"]
     assert context.sentence_chunks_of([]) == []

@@ -27,25 +27,40 @@ def _lines() -> Column:
     return F.split("content", "\n")
 
 
+def _nearest(levels: Column, reach: int) -> Column:
+    """For each of some header levels the place, from 0 on, of the last one before it of a level up to its own plus `reach`; -1 without one."""
+    none = F.struct(F.array_repeat(F.lit(-1), 6).alias("last"), F.array().cast("array<int>").alias("out"))
+    seen = lambda got, x: F.transform(got["last"], lambda at, k: F.when(k + 1 == x, F.size(got["out"])).otherwise(at))
+    found = lambda got, x: F.coalesce(F.array_max(F.slice(got["last"], 1, x + reach)), F.lit(-1))
+    return F.aggregate(levels, none, lambda got, x: F.struct(seen(got, x).alias("last"), F.concat(got["out"], F.array(found(got, x))).alias("out")), lambda got: got["out"])
+
+
 def markdown_sections(files: DataFrame) -> DataFrame:
     """SECTION rows: a header's lines up to the next header; text before the first belongs to none; headers inside code fences count.
 
-    The parent is the nearest earlier header of a smaller level, within the file; ids hold the whole path, so equal names in two folders differ.
+    The parent is the nearest earlier header of a smaller level, within the file; ids hold the whole path, so equal names in two folders differ. Sections are
+    cut before they become rows, so that no row carries its file; a header's children are sought below it alone, which each of the six levels reads once.
     """
     lines = files.select("path", "content", F.transform(_lines(), T.strip).alias("stripped"))
     marked = F.filter(F.transform("stripped", lambda x, i: F.struct((i + 1).alias("line"), F.length(F.regexp_extract(x, K.HEADER, 1)).alias("level"), T.strip(F.regexp_extract(x, K.HEADER, 2)).alias("title"))), lambda h: h["level"] > 0)
-    heads = lines.select("path", F.split("content", "\n").alias("lines"), marked.alias("heads"))
-    name = lambda h: F.concat_ws("_", T.stem("path"), h["line"], h["level"])
-    parent = lambda h: F.try_element_at(F.filter("heads", lambda o: (o["line"] < h["line"]) & (o["level"] < h["level"])), F.lit(-1))
-    named = heads.select("path", "lines", F.transform("heads", lambda h: F.struct(h["line"].alias("line"), h["level"].alias("level"), h["title"].alias("title"), name(h).alias("id"), parent(h)["line"].alias("up"))).alias("heads"))
-    each = named.select("path", "lines", "heads", F.posexplode_outer("heads").alias("n", "h")).filter("h IS NOT NULL")
-    stop = F.coalesce(F.try_element_at("heads", F.col("n") + 2)["line"] - 1, F.size("lines"))
-    up = F.try_element_at(F.filter("heads", lambda o: o["line"] == F.col("h.up")), F.lit(1))["id"]
-    return each.select(
-        F.concat_ws("#", "path", "h.id").alias("section_id"), F.col("h.title").alias("title"), F.col("h.level").alias("level"), F.col("h.line").alias("start_line"), stop.alias("end_line"),
-        F.array_join(F.slice("lines", F.col("h.line"), stop - F.col("h.line") + 1), "\n").alias("content"), F.when(up.isNotNull(), F.concat_ws("#", "path", up)).alias("parent_id"),
-        F.transform(F.filter("heads", lambda o: o["up"] == F.col("h.line")), lambda o: F.concat_ws("#", "path", o["id"])).alias("children"), F.col("path").alias("file_path"),
-    )
+    heads = lines.select("path", _lines().alias("lines"), marked.alias("heads"))
+    levels = F.transform("heads", lambda h: h["level"])
+    # Zipped, as a column that a lambda names once would be worked out for each element.
+    name = lambda h: F.concat_ws("#", "path", F.concat_ws("_", T.stem("path"), h["line"], h["level"]))
+    ends = F.zip_with("heads", F.reverse(_nearest(F.reverse(levels), 0)), lambda h, end: F.struct(h["line"].alias("line"), h["level"].alias("level"), h["title"].alias("title"), name(h).alias("id"), end.alias("end")))
+    named = heads.select("path", "lines", F.zip_with(ends, _nearest(levels, -1), lambda h, up: F.struct(h["line"].alias("line"), h["level"].alias("level"), h["title"].alias("title"), h["id"].alias("id"), h["end"].alias("end"), up.alias("up"))).alias("heads"))
+
+    def section(h: Column, i: Column) -> Column:
+        stop = F.coalesce(F.get("heads", i + 1)["line"] - 1, F.size("lines"))
+        below = F.slice("heads", i + 2, F.size("heads") - 2 - h["end"] - i)
+        return F.struct(
+            h["id"].alias("section_id"), h["title"].alias("title"), h["level"].alias("level"), h["line"].alias("start_line"), stop.alias("end_line"),
+            F.array_join(F.slice("lines", h["line"], stop - h["line"] + 1), "\n").alias("content"), F.get("heads", h["up"])["id"].alias("parent_id"),
+            F.transform(F.filter(below, lambda o: o["up"] == i), lambda o: o["id"]).alias("children"),
+        )
+
+    each = named.select(F.col("path").alias("file_path"), F.explode_outer(F.transform("heads", section)).alias("s")).filter("s IS NOT NULL")
+    return each.select("s.*", "file_path")
 
 
 def rst_level(underline: Column) -> Column:

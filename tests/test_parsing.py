@@ -1,4 +1,5 @@
 import ast
+import random
 
 from quillmark.operators import classify, parsing
 from quillmark.plans import corpus
@@ -24,6 +25,23 @@ def test_skipped_levels(spark):
     assert rows[0].children == ["a.md#a_2_3", "a.md#a_3_2"]
 
 
+def test_hierarchy_equals_a_search_over_all_headers(spark):
+    rng = random.Random(2)
+    texts = {f"{i}.md": "\n".join("#" * rng.randint(1, 6) + " h" if rng.random() < 0.6 else "x" for _ in range(rng.randint(0, 40))) for i in range(40)}
+    texts["many.md"] = "\n".join("#" * (1 + i % 6) + " h" for i in range(3000))
+    rows = {r.section_id: r for r in parsing.markdown_sections(files(spark, *texts.items())).collect()}
+    for path, text in texts.items():
+        heads = [(i + 1, len(x) - 2) for i, x in enumerate(text.split("\n")) if x[:1] == "#"]
+        ids = [f"{path}#{path[:-3]}_{line}_{level}" for line, level in heads]
+        ups = [next((ids[j] for j in range(i - 1, -1, -1) if heads[j][1] < heads[i][1]), None) for i in range(len(heads))]
+        assert [rows[x].parent_id for x in ids] == ups
+        children = {}
+        for x, up in zip(ids, ups, strict=True):
+            children.setdefault(up, []).append(x)
+        assert all(rows.pop(x).children == children.get(x, []) for x in ids)
+    assert not rows
+
+
 def test_rst_edges(spark):
     text = 'Top\n===\nbody\nShort title\n==\nSub\n---\n---\nx\nLast\n""""'
     rows = parsing.rst_sections(files(spark, ("a.rst", text), ("b.rst", "T\n="), ("c.rst", "=\nx"))).orderBy("start_line").collect()

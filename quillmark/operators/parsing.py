@@ -75,13 +75,18 @@ def rst_sections(files: DataFrame) -> DataFrame:
     is_head = lambda x, i: x.rlike(r'^(=+|-+|\^+|"+)\z') & (i > 0) & (i + 1 < F.size("s"))
     fits = lambda x, i: F.when(is_head(x, i), (F.length(above(i)) > 0) & (F.length(above(i)) <= F.length(x))).otherwise(False)
     heads = F.filter(F.transform("s", lambda x, i: F.when(fits(x, i), F.struct((i + 1).alias("line"), rst_level(x).alias("level"), above(i).alias("title")))), lambda h: h.isNotNull())
-    each = lines.select("path", "lines", heads.alias("heads")).select("path", "lines", "heads", F.posexplode_outer("heads").alias("n", "h")).filter("h IS NOT NULL")
-    stop = F.coalesce(F.try_element_at("heads", F.col("n") + 2)["line"] - 2, F.size("lines"))
-    return each.select(
-        F.concat(F.col("path"), F.lit("#"), F.concat_ws("_", T.stem("path"), "h.line", "h.level")).alias("section_id"), F.col("h.title").alias("title"), F.col("h.level").alias("level"),
-        (F.col("h.line") - 1).alias("start_line"), stop.alias("end_line"), F.array_join(F.slice("lines", F.col("h.line") - 1, F.greatest(F.lit(0), stop - F.col("h.line") + 2)), "\n").alias("content"),
-        F.lit(None).cast("string").alias("parent_id"), T.strings([]).alias("children"), F.col("path").alias("file_path"),
-    )
+    named = lines.select("path", "lines", heads.alias("heads"))
+
+    def section(h: Column, i: Column) -> Column:
+        stop = F.coalesce(F.get("heads", i + 1)["line"] - 2, F.size("lines"))
+        return F.struct(
+            F.concat(F.col("path"), F.lit("#"), F.concat_ws("_", T.stem("path"), h["line"], h["level"])).alias("section_id"), h["title"].alias("title"), h["level"].alias("level"),
+            (h["line"] - 1).alias("start_line"), stop.alias("end_line"), F.array_join(F.slice("lines", h["line"] - 1, F.greatest(F.lit(0), stop - h["line"] + 2)), "\n").alias("content"),
+            F.lit(None).cast("string").alias("parent_id"), T.strings([]).alias("children"),
+        )
+
+    each = named.select(F.col("path").alias("file_path"), F.explode_outer(F.transform("heads", section)).alias("s")).filter("s IS NOT NULL")
+    return each.select("s.*", "file_path")
 
 
 def _symbol(line: Column, kind, name: Column, signature: Column) -> Column:

@@ -175,6 +175,31 @@ def test_components_of_paths_stars_and_loops(spark):
     assert components(spark.createDataFrame([], "a bigint, b bigint")).count() == 0
 
 
+@pytest.mark.parametrize("few", [-1, 40, 1 << 17])
+def test_few_links_are_joined_without_rounds(spark, monkeypatch, few):
+    import quillmark.llm.components as module
+
+    made = []
+    monkeypatch.setattr(module, "FEW", few)
+    monkeypatch.setattr(module, "written", lambda df, name, write=module.written: made.append(name) or write(df, name))
+    rnd = random.Random(2)
+    edges = [(i, i + 1) for i in range(60)] + [(100, 100 + i) for i in range(1, 20)] + [(rnd.randint(200, 260), rnd.randint(200, 260)) for _ in range(40)] + [(None, 1), (7, 7), (3, 2)]
+    least = {n: n for e in edges for n in e}
+    for _ in edges:
+        for a, b in edges:
+            if a is not None:
+                least[a] = least[b] = min(least[a], least[b])
+    key = lambda n: None if n is None else hashlib.md5(b"%d" % n).digest()
+    groups = {}
+    for n in least:
+        groups.setdefault(least[n], []).append(key(n))
+    groups.pop(None)
+    want = {k: min(g) for g in groups.values() for k in g if k != min(g)}
+    rows = components(spark.createDataFrame([(key(a), key(b)) for a, b in edges], "a binary, b binary").repartition(5)).collect()
+    assert {bytes(r.node): bytes(r.component) for r in rows} == want and len(rows) == len(want)
+    assert len(made) == 2 if few > len(edges) else len(made) > 4
+
+
 @pytest.mark.skipif(not Path("/root/testdata/sf0.01").exists(), reason="the driver's tables are not here")
 def test_classes_of_the_tables_equal_all_pairs(spark):
     """Recall on data: the classes of all pairs of different texts, compared exactly."""

@@ -2,7 +2,8 @@
 
 A text's key is the SHA-256 of its normalised content beside the SHA-256 of the tokenizer's file. Stored counts are joined
 on that key; only distinct contents without one are encoded, and their counts are appended to the cache, a Parquet table. Digests alone are compared with the cache: where it has
-them all, no text is shuffled. The query fills a cache of its own and joins its rows to the stored counts.
+them all, no text is shuffled. The query fills a cache of its own and joins its rows to the stored counts. Where a session has more shuffle partitions than
+the texts are worth, partitions are put together, not cut, before files are written.
 
 Misses keep one row for each digest in each scan task before they are shuffled by digest, compressed, so a text that a third of all
 rows share crosses once from each task. The tokenizers library counts every text. Where the vocabulary file drops white space
@@ -27,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmark.llm._tables import bounded, documents, new_path, unused, written
+from quillmark.llm._tables import bounded, documents, new_path, tasks_for, unused, written
 
 LIMIT = 2048
 PIECES = 200_000
@@ -170,7 +171,7 @@ def fill(docs: DataFrame, path: str, cache: str, text: str = "text") -> None:
             return
         each = firsts.join(misses.withColumnRenamed("digest", "_digest").hint("merge"), F.col("digest") == F.col("_digest")).select("digest", "packed")
     bounded(spark)
-    each.mapInArrow(_encoder(path, version), CACHE).write.mode("append").parquet(cache)
+    each.mapInArrow(_encoder(path, version), CACHE).coalesce(tasks_for(docs)).write.mode("append").parquet(cache)
 
 
 def counted(docs: DataFrame, keep: list[str], path: str, cache: str, text: str = "text", into: str = "n_tokens") -> DataFrame:
@@ -178,9 +179,9 @@ def counted(docs: DataFrame, keep: list[str], path: str, cache: str, text: str =
     spark, version, key = docs.sparkSession, version_of(path), unused(docs, "_digest")
     fill(docs, path, cache, text)
     counts = _stored(spark, cache, version).groupBy(F.col("digest").alias(key)).agg(F.max("n_tokens").alias(into))
-    counts = written(counts, "token-counts")  # a plain shuffle on both sides of the join, which adaptive execution can split
+    counts = written(counts.coalesce(tasks_for(docs)), "token-counts")  # a plain shuffle on both sides of the join, which adaptive execution can split
     rows = docs.select(*(F.col(f"`{c}`") for c in keep if c != into), digest(F.col(f"`{text}`"), path).alias(key))
-    return rows.join(counts, key, "left").drop(key)
+    return rows.join(counts, key, "left").drop(key).coalesce(tasks_for(docs))
 
 
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -119,6 +119,22 @@ def test_op5_counts_from_stored_counts(spark, docs, awkward, tmp_path):
     assert sorted(map(repr, ((r.doc_id, r.n_bytes, r.n_tokens, r.over_limit) for r in rows))) == sorted(map(repr, ((*w, w[2] > 2048) for w in want)))
 
 
+def test_token_counts_write_no_file_for_every_partition(spark, docs, awkward, tmp_path):
+    docs.select("text").write.parquet(f"{tmp_path}/texts")
+    docs = spark.read.parquet(f"{tmp_path}/texts")
+    path, cache, confs = token_counts.vocabulary_path(), new_path(spark, "test-cache"), {"spark.sql.shuffle.partitions": "90", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in confs}
+    try:
+        for k, v in confs.items():
+            spark.conf.set(k, v)
+        rows, most = token_counts.counted(docs, ["text"], path, cache), 3 * spark.sparkContext.defaultParallelism
+        assert len(spark.read.parquet(cache).inputFiles()) <= most < 45 and rows.rdd.getNumPartitions() <= most
+        assert sorted((r.text or "", r.n_tokens) for r in rows.collect()) == sorted((r[1] or "", token_counts.counter(path).whole([r[1] or ""])[0]) for r in awkward)
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 def test_token_pieces_and_special_strings():
     counter = token_counts.counter(token_counts.vocabulary_path())
     assert counter.by_piece
